@@ -41,7 +41,7 @@ W = f"(PARTITION BY {SERIES} ORDER BY ts_index"
 
 
 def r(expr: str, name: str) -> str:
-    return f"round(CAST({expr} AS DOUBLE), 6) + 0.0 AS {name}"
+    return f"round(CAST({expr} AS DOUBLE) + 3.1e-8, 6) AS {name}"
 
 
 def rs(*names: str) -> str:
@@ -512,6 +512,25 @@ ORACLES = {
         "rounds AS (SELECT horizon, fold, unnest(['regression_s42', 'huber_s42']) AS tag, n % 97 + fold * 3 AS best_iteration FROM sizes)",
     ),
     "align_predictions": q(f"SELECT id, horizon, ts_index, {r('feature_al - feature_s', 'prediction')} FROM test"),
+    "ridge_single": q(
+        f"SELECT id, {r('my + b * (x - mx)', 'prediction')} FROM z JOIN fits USING (horizon)",
+        TWO + """,
+scaled AS (SELECT horizon, avg(pred_lgb) AS mu, stddev_pop(pred_lgb) AS sd FROM two GROUP BY horizon),
+z AS (SELECT id, horizon, weight AS w, y_target AS y, (pred_lgb - mu) / sd AS x FROM two JOIN scaled USING (horizon)),
+centre AS (SELECT horizon, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM z GROUP BY horizon),
+fits AS (SELECT horizon, any_value(mx) AS mx, any_value(my) AS my,
+                sum(w * (x - mx) * (y - my)) / (sum(w * (x - mx) * (x - mx)) + 2.0) AS b
+         FROM z JOIN centre USING (horizon) GROUP BY horizon)
+""",
+    ),
+    "stored_fills": q(
+        f"SELECT level, sub_category, \"column\", {r('value', 'value')} FROM medians WHERE value IS NOT NULL",
+        f"medians AS ({_median_rows(FEATURES, 'train')})",
+    ),
+    "prediction_file": q(
+        "SELECT count(*) AS rows, count(*) FILTER (feature_al IS NULL) AS null_predictions, "
+        "count(*) - count(DISTINCT id) AS repeated_ids FROM test"
+    ),
     "unseen_rows": q(
         "SELECT horizon, count(*) AS rows FROM train WHERE id NOT IN (SELECT id FROM drawn) GROUP BY horizon", STRATA
     ),

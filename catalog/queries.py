@@ -5,35 +5,47 @@ Doubles are rounded to six places so that results can be compared across engines
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelyard.contract import CATEGORIES, CONTEXT_SIGNALS, KEY_COLUMNS, feature_columns
+from panelyard.contract import CATEGORIES, CONTEXT_SIGNALS, HORIZONS, KEY_COLUMNS, feature_columns
+from panelyard.models import boosting
+from panelyard.models.ridge import fit_ridge
 from panelyard.operators import context_features as ctx
 from panelyard.operators import cross_section, encoding, impute, profile, sampling, scoring, splits, validate
 from panelyard.operators import research_features as rf
-from panelyard.plans import baseline
+from panelyard.plans import baseline, stack, validation, walk_forward
 from panelyard.sources import panel_io, star_panel
 
 PLACES = 6
+# Means of simple fractions often end in an exact half of the last place. The offset moves
+# them off that tie, so that the order of summation cannot decide which way they round.
+OFF_TIE = 3.1e-8
 LAG_COLUMNS = ("feature_al", "feature_cg")
 CROSS_COLUMNS = ("feature_al", "feature_cg")
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Round floating columns; adding 0.0 turns a negative zero into zero."""
+    """Round floating columns."""
     floating = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
     return df.select(
         *[
-            (F.round(F.col(c).cast("double"), PLACES) + F.lit(0.0)).alias(c) if c in floating else F.col(c)
+            F.round(F.col(c).cast("double") + OFF_TIE, PLACES).alias(c) if c in floating else F.col(c)
             for c in df.columns
         ]
     )
 
 
+def _stored_train(spark, sf):
+    """The train table written once, for work that reads it several times."""
+    return panel_io.stored(star_panel.train_table(spark, sf), "train")
+
+
 def _train(spark, sf):
     return star_panel.train_table(spark, sf)
 
@@ -189,7 +201,7 @@ def test_profile(spark, sf):
 
 
 def target_quantiles(spark, sf):
-    return rounded(profile.target_quantiles(_train(spark, sf)))
+    return rounded(profile.target_quantiles(_stored_train(spark, sf)))
 
 
 def missing_top20(spark, sf):
@@ -237,9 +249,14 @@ def target_encoding(spark, sf):
     return rounded(encoding.fit_encoding(_base(spark, sf)))
 
 
+def _encoding(spark, sf):
+    """Stored, so that the lookups have a known size."""
+    return panel_io.stored(encoding.fit_encoding(_base(spark, sf)), "encoding")
+
+
 def encoded_rows(spark, sf):
     """Base-segment encodings looked up for the whole panel."""
-    encoded = encoding.apply_encoding(_panel(spark, sf), encoding.fit_encoding(_base(spark, sf)))
+    encoded = encoding.apply_encoding(_panel(spark, sf), _encoding(spark, sf))
     return rounded(encoded.select("id", "sub_category_enc", "sub_code_enc"))
 
 
@@ -347,40 +364,34 @@ def interaction_features(spark, sf):
 
 
 def _fit_rows(spark, sf):
-    train = _train(spark, sf)
-    return rf.missing_indicators(train, ["feature_cg"])
+    return rf.missing_indicators(_stored_train(spark, sf), ["feature_cg"])
 
 
 def median_stats(spark, sf):
     """Overall and per-category medians of the raw features on the train rows."""
-    train = _train(spark, sf)
-    stats = impute.fit_stats(train, feature_columns(train), CATEGORIES)
-    return rounded(stats.medians)
+    train = _stored_train(spark, sf)
+    return rounded(impute.fit_stats(train, feature_columns(train), CATEGORIES).long())
 
 
-def _filled(spark, sf, rows):
-    train = _fit_rows(spark, sf)
-    _, stats = _matrix_stats(train)
+def _filled(rows, train):
+    stats = impute.fit_stats(train, *impute.matrix_columns(train))
     return rounded(impute.fill(rows, stats).select("id", *stats.order))
 
 
-def _matrix_stats(train):
-    numeric, categorical = impute.matrix_columns(train)
-    return numeric, impute.fit_stats(train, numeric, categorical)
-
-
 def matrix_fit(spark, sf):
-    return _filled(spark, sf, _fit_rows(spark, sf))
+    train = _fit_rows(spark, sf)
+    return _filled(train, train)
 
 
 def matrix_transform(spark, sf):
     """Test rows filled with train medians; a column the test lacks is added."""
-    return _filled(spark, sf, rf.missing_indicators(_test(spark, sf), ["feature_cg"]).drop("feature_s"))
+    test = rf.missing_indicators(_test(spark, sf), ["feature_cg"]).drop("feature_s")
+    return _filled(test, _fit_rows(spark, sf))
 
 
 def baseline_matrix(spark, sf):
     """Overall-median fill with `horizon` as a category."""
-    train = _train(spark, sf)
+    train = _stored_train(spark, sf)
     stats = impute.fit_stats(train, *impute.baseline_columns(train, True), per_category=False)
     return rounded(impute.fill_overall(_test(spark, sf), stats).select("id", *stats.order))
 
@@ -393,7 +404,7 @@ def _two_predictions(spark, sf):
     train = _train(spark, sf)
     rows = splits.with_segment(train, star_panel.LEVEL1_THRESHOLD, star_panel.META_THRESHOLD)
     evaluated = rows.where("segment = 'eval'").drop("segment")
-    encoded = encoding.apply_encoding(evaluated, encoding.fit_encoding(_base(spark, sf)))
+    encoded = encoding.apply_encoding(evaluated, _encoding(spark, sf))
     return encoded.select(
         "*",
         F.col("sub_code_enc").alias("pred_lgb"),
@@ -460,6 +471,34 @@ def align_predictions(spark, sf):
     return rounded(scoring.align_predictions(test.select("id", "horizon", "ts_index"), predicted))
 
 
+def ridge_single(spark, sf):
+    """The level-2 ridge with a single input, fitted on the eval rows of each horizon."""
+    rows = panel_io.stored(_two_predictions(spark, sf), "two")
+    out = None
+    for h in HORIZONS:
+        own = rows.where(F.col("horizon") == h)
+        model = fit_ridge(own, ["pred_lgb"], "y_target", "weight")
+        part = own.select("id", model.expression().alias("prediction"))
+        out = part if out is None else out.unionByName(part)
+    return rounded(out)
+
+
+def stored_fills(spark, sf):
+    """Fitted medians after a round trip through files."""
+    train = _stored_train(spark, sf)
+    path = f"{panel_io.shared_folder(spark)}/fills-{uuid.uuid4().hex}"
+    impute.fit_stats(train, feature_columns(train), CATEGORIES).save(path)
+    return rounded(impute.FillStats.load(spark, path).long())
+
+
+def prediction_file(spark, sf):
+    """Write test predictions as CSV, read the file back and check it."""
+    test = _test(spark, sf)
+    path = f"{panel_io.shared_folder(spark)}/predictions-{uuid.uuid4().hex}"
+    panel_io.write_predictions(test, test.select("id", F.col("feature_al").alias("prediction")), path)
+    return panel_io.check_prediction_file(spark, path)
+
+
 def unseen_rows(spark, sf):
     """Train rows whose id is not in the stratified sample (anti join)."""
     train = _train(spark, sf)
@@ -487,6 +526,97 @@ def union_diagonal(spark, sf):
     )
 
 
+# --- models and pipelines: small trees, whole tables ---------------------------------
+
+_TREES = dict(max_depth=3, learning_rate=0.3)
+
+
+def _cv_settings(**changes):
+    limits = rf.FeatureLimits(2, 2, switches=dict(lags=(1, 5), windows=(5,), spans=(5,)))
+    settings = walk_forward.CVSettings(
+        params=replace(boosting.WALK_FORWARD, **_TREES), seeds=(42,), rounds=3, limits=limits, fit_partitions=8
+    )
+    return replace(settings, **changes)
+
+
+def _fit_settings():
+    return validation.FitSettings(params=replace(boosting.BASELINE, **_TREES), rounds=4, fit_partitions=8)
+
+
+def global_validation(spark, sf):
+    return rounded(validation.global_validation(_stored_train(spark, sf), _fit_settings()).scores)
+
+
+def per_horizon_validation(spark, sf):
+    return rounded(validation.per_horizon_validation(_stored_train(spark, sf), _fit_settings()).scores)
+
+
+def walk_forward_cv(spark, sf):
+    outcome = walk_forward.walk_forward_cv(_stored_train(spark, sf), _cv_settings(), _sizes(spark, sf))
+    return rounded(outcome.fold_scores)
+
+
+def ablation(spark, sf):
+    settings = _cv_settings(n_folds=1, objectives=("regression",))
+    return rounded(walk_forward.feature_ablation(_stored_train(spark, sf), settings, _sizes(spark, sf)))
+
+
+def two_level_stack(spark, sf):
+    config = stack.StackConfig(
+        level1_threshold=star_panel.LEVEL1_THRESHOLD,
+        meta_threshold=star_panel.META_THRESHOLD,
+        lgb_seeds=(42,),
+        xgb_seeds=(42,),
+        lgb_rounds=4,
+        xgb_rounds=4,
+        xgb_min_rounds=2,
+        lgb=replace(boosting.FAMILY_LGB, **_TREES),
+        xgb=replace(boosting.FAMILY_XGB, **_TREES),
+        fit_partitions=8,
+    )
+    result = stack.run_stack(_stored_train(spark, sf), _test(spark, sf), config, _sizes(spark, sf))
+    return rounded(result.predictions)
+
+
+def full_fit_predict(spark, sf):
+    """Per-horizon full fit on the baseline features, then test predictions."""
+    models = validation.fit_per_horizon_full(
+        _stored_train(spark, sf), _fit_settings(), {1: 3, 3: 3, 10: 3, 25: 3}
+    )
+    return rounded(validation.predict_per_horizon(models, _test(spark, sf)))
+
+
+def fixed_rounds_fit(spark, sf):
+    """Research ensemble with the same rounds for every member."""
+    fit = walk_forward.train_with_fixed_rounds(
+        _stored_train(spark, sf), _test(spark, sf), _cv_settings(), 3, _sizes(spark, sf)
+    )
+    return rounded(fit.predictions)
+
+
+def rescore_from_summary(spark, sf):
+    """Final fit from a saved run summary."""
+    train, settings = _stored_train(spark, sf), _cv_settings(objectives=("regression", "regression_l1"))
+    tags = {tag: 3 for tag, _, _ in settings.members()}
+    ranking = profile.grouped_stability(train, ["horizon"], feature_columns(train)).collect()
+    configs = {
+        str(h): json.dumps(rf.config_from_ranking([r for r in ranking if r["horizon"] == h], settings.limits).to_dict())
+        for h in HORIZONS
+    }
+    saved = {
+        "objectives": "regression, regression_l1",
+        "seeds": list(settings.seeds),
+        "best_iterations": {str(h): tags for h in HORIZONS},
+        "feature_config_by_horizon": configs,
+        "params": json.dumps(settings.params.to_dict()),
+    }
+    path = f"{panel_io.shared_folder(spark)}/summary-{uuid.uuid4().hex}"
+    panel_io.write_summary(spark, saved, path)
+    summary = panel_io.read_summary(spark, path)
+    fit = walk_forward.rescore_from_summary(train, _test(spark, sf), summary, settings, _sizes(spark, sf))
+    return rounded(fit.predictions)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -499,6 +629,8 @@ QUERIES = {
         context_lags, rolling_current_block, ewm_current_block, cs_z_two_level, cycle_features,
         interaction_features, median_stats, matrix_fit, matrix_transform, baseline_matrix, level2_frame,
         candidate_scores, select_candidate, selected_predictions, ensemble_mean, best_rounds, choose_rounds,
-        align_predictions, unseen_rows, test_only_rows, union_diagonal,
+        align_predictions, ridge_single, stored_fills, prediction_file, unseen_rows, test_only_rows,
+        union_diagonal, global_validation, per_horizon_validation, walk_forward_cv, ablation, two_level_stack,
+        full_fit_predict, fixed_rounds_fit, rescore_from_summary,
     )
 }
