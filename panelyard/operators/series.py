@@ -54,13 +54,13 @@ def with_series_position(df: DataFrame, name: str = "_pos") -> DataFrame:
     return joined.select(*df.columns, (F.col("_offset") + F.col("_in_block") - 1).alias(name))
 
 
-def chunk_series(df: DataFrame, look_back: int, look_ahead: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def chunk_series(df: DataFrame, look_back: int, look_ahead: int, chunk_rows: int | None = None) -> DataFrame:
     """Cut series into chunks of `chunk_rows`; rows near a boundary are also copied next door.
 
     Adds `_chunk` and `_halo`. A window over SERIES + _chunk then sees everything a
     frame of `look_back` / `look_ahead` rows needs; copies are dropped afterwards.
     """
-    chunk_rows = max(chunk_rows, look_back, look_ahead)
+    chunk_rows = max(chunk_rows or CHUNK_ROWS, look_back, look_ahead)
     placed = with_series_position(df)
     chunk = F.floor(F.col("_pos") / chunk_rows)
     offset = F.col("_pos") % chunk_rows
@@ -86,7 +86,7 @@ def over_series(
     sizes: GroupSizes,
     look_back: int,
     look_ahead: int = 0,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Apply `build(rows, partition_keys, rows_bound)` to every series.
 
@@ -97,7 +97,7 @@ def over_series(
         return build(df, list(SERIES), sizes.max_series_rows)
     ordinary, hot = split_hot(df, sizes.hot_series, SERIES)
     chunked = chunk_series(hot, look_back, look_ahead, chunk_rows)
-    bound = max(chunk_rows, look_back, look_ahead) + look_back + look_ahead
+    bound = max(chunk_rows or CHUNK_ROWS, look_back, look_ahead) + look_back + look_ahead
     built = build(chunked, [*SERIES, "_chunk"], bound).where(~F.col("_halo")).drop("_chunk", "_halo")
     return build(ordinary, list(SERIES), sizes.max_series_rows).unionByName(built)
 
@@ -107,7 +107,7 @@ def fill_series(
     columns: Sequence[str],
     sizes: GroupSizes,
     forward: bool = True,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Replace nulls by the last (or next) non-null value of the series."""
 
