@@ -41,11 +41,6 @@ def rounded(df: DataFrame) -> DataFrame:
     )
 
 
-def _stored_train(spark, sf):
-    """The train table written once, for work that reads it several times."""
-    return panel_io.stored(star_panel.train_table(spark, sf), "train")
-
-
 def _train(spark, sf):
     return star_panel.train_table(spark, sf)
 
@@ -55,7 +50,7 @@ def _test(spark, sf):
 
 
 def _panel(spark, sf):
-    return star_panel.panel(spark, sf)
+    return star_panel.panel_table(spark, sf)
 
 
 def _sizes(spark, sf):
@@ -70,7 +65,8 @@ def _base(spark, sf):
 
 
 def panel_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_panel(spark, sf))
+    """The panel derived from the line items."""
+    return rounded(star_panel.panel(spark, sf))
 
 
 def parquet_profile(spark, sf):
@@ -201,7 +197,7 @@ def test_profile(spark, sf):
 
 
 def target_quantiles(spark, sf):
-    return rounded(profile.target_quantiles(_stored_train(spark, sf)))
+    return rounded(profile.target_quantiles(_train(spark, sf)))
 
 
 def missing_top20(spark, sf):
@@ -364,12 +360,12 @@ def interaction_features(spark, sf):
 
 
 def _fit_rows(spark, sf):
-    return rf.missing_indicators(_stored_train(spark, sf), ["feature_cg"])
+    return rf.missing_indicators(_train(spark, sf), ["feature_cg"])
 
 
 def median_stats(spark, sf):
     """Overall and per-category medians of the raw features on the train rows."""
-    train = _stored_train(spark, sf)
+    train = _train(spark, sf)
     return rounded(impute.fit_stats(train, feature_columns(train), CATEGORIES).long())
 
 
@@ -391,7 +387,7 @@ def matrix_transform(spark, sf):
 
 def baseline_matrix(spark, sf):
     """Overall-median fill with `horizon` as a category."""
-    train = _stored_train(spark, sf)
+    train = _train(spark, sf)
     stats = impute.fit_stats(train, *impute.baseline_columns(train, True), per_category=False)
     return rounded(impute.fill_overall(_test(spark, sf), stats).select("id", *stats.order))
 
@@ -485,7 +481,7 @@ def ridge_single(spark, sf):
 
 def stored_fills(spark, sf):
     """Fitted medians after a round trip through files."""
-    train = _stored_train(spark, sf)
+    train = _train(spark, sf)
     path = f"{panel_io.shared_folder(spark)}/fills-{uuid.uuid4().hex}"
     impute.fit_stats(train, feature_columns(train), CATEGORIES).save(path)
     return rounded(impute.FillStats.load(spark, path).long())
@@ -544,21 +540,21 @@ def _fit_settings():
 
 
 def global_validation(spark, sf):
-    return rounded(validation.global_validation(_stored_train(spark, sf), _fit_settings()).scores)
+    return rounded(validation.global_validation(_train(spark, sf), _fit_settings()).scores)
 
 
 def per_horizon_validation(spark, sf):
-    return rounded(validation.per_horizon_validation(_stored_train(spark, sf), _fit_settings()).scores)
+    return rounded(validation.per_horizon_validation(_train(spark, sf), _fit_settings()).scores)
 
 
 def walk_forward_cv(spark, sf):
-    outcome = walk_forward.walk_forward_cv(_stored_train(spark, sf), _cv_settings(), _sizes(spark, sf))
+    outcome = walk_forward.walk_forward_cv(_train(spark, sf), _cv_settings(), _sizes(spark, sf))
     return rounded(outcome.fold_scores)
 
 
 def ablation(spark, sf):
     settings = _cv_settings(n_folds=1, objectives=("regression",))
-    return rounded(walk_forward.feature_ablation(_stored_train(spark, sf), settings, _sizes(spark, sf)))
+    return rounded(walk_forward.feature_ablation(_train(spark, sf), settings, _sizes(spark, sf)))
 
 
 def two_level_stack(spark, sf):
@@ -574,14 +570,14 @@ def two_level_stack(spark, sf):
         xgb=replace(boosting.FAMILY_XGB, **_TREES),
         fit_partitions=8,
     )
-    result = stack.run_stack(_stored_train(spark, sf), _test(spark, sf), config, _sizes(spark, sf))
+    result = stack.run_stack(_train(spark, sf), _test(spark, sf), config, _sizes(spark, sf))
     return rounded(result.predictions)
 
 
 def full_fit_predict(spark, sf):
     """Per-horizon full fit on the baseline features, then test predictions."""
     models = validation.fit_per_horizon_full(
-        _stored_train(spark, sf), _fit_settings(), {1: 3, 3: 3, 10: 3, 25: 3}
+        _train(spark, sf), _fit_settings(), {1: 3, 3: 3, 10: 3, 25: 3}
     )
     return rounded(validation.predict_per_horizon(models, _test(spark, sf)))
 
@@ -589,14 +585,14 @@ def full_fit_predict(spark, sf):
 def fixed_rounds_fit(spark, sf):
     """Research ensemble with the same rounds for every member."""
     fit = walk_forward.train_with_fixed_rounds(
-        _stored_train(spark, sf), _test(spark, sf), _cv_settings(), 3, _sizes(spark, sf)
+        _train(spark, sf), _test(spark, sf), _cv_settings(), 3, _sizes(spark, sf)
     )
     return rounded(fit.predictions)
 
 
 def rescore_from_summary(spark, sf):
     """Final fit from a saved run summary."""
-    train, settings = _stored_train(spark, sf), _cv_settings(objectives=("regression", "regression_l1"))
+    train, settings = _train(spark, sf), _cv_settings(objectives=("regression", "regression_l1"))
     tags = {tag: 3 for tag, _, _ in settings.members()}
     ranking = profile.grouped_stability(train, ["horizon"], feature_columns(train)).collect()
     configs = {

@@ -7,11 +7,14 @@ shuffled and a series holds at most one row per calendar day afterwards.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelyard.contract import HORIZONS
 from panelyard.operators.group_sizes import GROUP_ROW_LIMIT, GroupSizes, largest_group, measure
+from panelyard.sources.panel_io import shared_folder
 
 EPOCH_DAY = "1992-01-01"
 TEST_START = 3420
@@ -94,12 +97,31 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# What this application has already derived, by (application, folder).
+_tables: dict[tuple[str, str], str] = {}
+_sizes: dict[tuple[str, str], GroupSizes] = {}
+
+
+def panel_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel as a table in the shared folder, partitioned by horizon.
+
+    Derived once per application; the input files are taken not to change meanwhile.
+    Filters on horizon prune partitions, filters on time and the column list reach the scan.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _tables:
+        path = f"{shared_folder(spark)}/panel-{uuid.uuid4().hex}"
+        panel(spark, sf_dir).write.partitionBy("horizon").parquet(path)
+        _tables[key] = path
+    return spark.read.parquet(_tables[key])
+
+
 def train_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel(spark, sf_dir).where(F.col("ts_index") < TEST_START)
+    return panel_table(spark, sf_dir).where(F.col("ts_index") < TEST_START)
 
 
 def test_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel(spark, sf_dir).where(F.col("ts_index") >= TEST_START).drop("y_target")
+    return panel_table(spark, sf_dir).where(F.col("ts_index") >= TEST_START).drop("y_target")
 
 
 def group_sizes(spark: SparkSession, sf_dir: str) -> GroupSizes:
@@ -108,9 +130,14 @@ def group_sizes(spark: SparkSession, sf_dir: str) -> GroupSizes:
     The daily aggregate only merges rows, so line items per (supplier, flag) bound a
     series, and line items per day bound one (horizon, day). Where a bound is above the limit, the panel itself is measured.
     """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _sizes:
+        return _sizes[key]
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     series_rows = largest_group(items, ["l_suppkey", "l_returnflag"])
     section_rows = largest_group(items, [F.col("l_shipdate").cast("date")])
     if max(series_rows, section_rows) > GROUP_ROW_LIMIT:
-        return measure(panel(spark, sf_dir))
-    return GroupSizes(series_rows, section_rows)
+        _sizes[key] = measure(panel_table(spark, sf_dir))
+    else:
+        _sizes[key] = GroupSizes(series_rows, section_rows)
+    return _sizes[key]
