@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from catalog.rounding import OFF_TIE, places
+
 PANEL = """
 daily AS (
   SELECT l_suppkey, l_returnflag,
@@ -41,7 +43,7 @@ W = f"(PARTITION BY {SERIES} ORDER BY ts_index"
 
 
 def r(expr: str, name: str) -> str:
-    return f"round(CAST({expr} AS DOUBLE) + 3.1e-8, 6) AS {name}"
+    return f"round(CAST({expr} AS DOUBLE) + {OFF_TIE!r}, {places(name)}) AS {name}"
 
 
 def rs(*names: str) -> str:

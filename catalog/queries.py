@@ -1,6 +1,6 @@
 """One query per operator, each over the whole derived panel.
 
-Doubles are rounded to six places so that results can be compared across engines.
+Doubles are rounded so that results can be compared across engines.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from catalog.rounding import OFF_TIE, places
 from panelyard.contract import CATEGORIES, CONTEXT_SIGNALS, HORIZONS, KEY_COLUMNS, feature_columns
 from panelyard.models import boosting
 from panelyard.models.ridge import fit_ridge
@@ -22,10 +23,6 @@ from panelyard.operators import research_features as rf
 from panelyard.plans import baseline, stack, validation, walk_forward
 from panelyard.sources import panel_io, star_panel
 
-PLACES = 6
-# Means of simple fractions often end in an exact half of the last place. The offset moves
-# them off that tie, so that the order of summation cannot decide which way they round.
-OFF_TIE = 3.1e-8
 LAG_COLUMNS = ("feature_al", "feature_cg")
 CROSS_COLUMNS = ("feature_al", "feature_cg")
 
@@ -35,7 +32,7 @@ def rounded(df: DataFrame) -> DataFrame:
     floating = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
     return df.select(
         *[
-            F.round(F.col(c).cast("double") + OFF_TIE, PLACES).alias(c) if c in floating else F.col(c)
+            F.round(F.col(c).cast("double") + OFF_TIE, places(c)).alias(c) if c in floating else F.col(c)
             for c in df.columns
         ]
     )
