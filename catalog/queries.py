@@ -521,7 +521,7 @@ def union_diagonal(spark, sf):
 
 # --- models and pipelines: small trees, whole tables ---------------------------------
 
-_TREES = dict(max_depth=3, learning_rate=0.3)
+_TREES = dict(max_depth=3, learning_rate=0.3, max_bins=64)
 
 
 def _cv_settings(**changes):
