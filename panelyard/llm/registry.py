@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from panelyard.llm import exact_dedup, mixing
+from panelyard.llm import byte_bpe, exact_dedup, mixing
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op4_mixing": mixing.op4_mixing,
 }
 
