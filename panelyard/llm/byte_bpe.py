@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm.store import table
+from panelyard.llm.store import arrow_map, table
 
 #: Words and pre-tokens a worker remembers at most; others are encoded each time they come.
 CACHED_WORDS, CACHED_PIECES = 300_000, 1_000_000
@@ -207,7 +207,7 @@ def _mapped(docs: DataFrame, path: str, pattern: str, schema: str, names: list[s
                     [*part.schema.names[:-1], *names],
                 )
 
-    return docs.mapInArrow(encode, schema)
+    return arrow_map(docs, encode, schema)
 
 
 def _ids_row(encoder: Encoder, text: str | None):
