@@ -21,7 +21,7 @@ from panelyard.llm.store import stored, table
 #: Blocks a mix is made of, whatever the corpus: the resolution of a quota is a millionth of it.
 BLOCKS = 1_000_000
 #: Bounds of a shard on average.
-SHARD_WORDS, SHARD_DOCS = 4_000_000, 20_000
+SHARD_WORDS, SHARD_DOCS, SHARD_BLOCKS = 4_000_000, 20_000, 20_000
 #: Weights of the sources in code point order, repeating; targets stop at so many times a source.
 WEIGHTS, MOST_REPEATS = (5, 2, 1), 3
 SEED = 42
@@ -136,7 +136,10 @@ def _mixed(sizes: DataFrame, weights, blocks, repeats, seed) -> DataFrame:
         {
             "block": block,
             "n_shards": F.greatest(
-                F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS), F.ceil(F.col("n_docs") / SHARD_DOCS)
+                F.lit(1),
+                F.ceil(F.col("source_size") / SHARD_WORDS),
+                F.ceil(F.col("n_docs") / SHARD_DOCS),
+                F.ceil(F.col("source_size") / block / SHARD_BLOCKS),
             ).cast("long"),
             "_one": F.lit(1),
         }
