@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from panelyard.llm import byte_bpe, exact_dedup, mixing, simhash_dedup
+from panelyard.llm import byte_bpe, exact_dedup, mixing, simhash_dedup, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op4_mixing": mixing.op4_mixing,
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
+    "op6_toxicity": toxicity.op6_toxicity,
 }
 
 ORACLES = {
