@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from panelyard.llm import byte_bpe, exact_dedup, mixing, simhash_dedup, toxicity
+from panelyard.llm import byte_bpe, exact_dedup, mixing, simhash_dedup, top_k, toxicity
 
 QUERIES = {
+    "op1_top_k": top_k.op1_top_k,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op4_mixing": mixing.op4_mixing,
@@ -13,5 +14,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_top_k": top_k.OP1_SQL,
     "op2_exact_dedup": exact_dedup.OP2_SQL,
 }

@@ -51,14 +51,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
     """`df.mapInArrow` with this package on every executor, however the session was started."""
-    _ship_package(df.sparkSession)
+    ship_package(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
 _SHIPPED: set[str] = set()
 
 
-def _ship_package(spark: SparkSession) -> None:
+def ship_package(spark: SparkSession) -> None:
     """Send the package's modules to the executors, once for each application."""
     if spark.sparkContext.applicationId in _SHIPPED:
         return
