@@ -1,3 +1,58 @@
-"""The corpus pipeline; stages are added as their operators are."""
+"""The corpus pipeline: toxicity, exact dedup, near-dedup, mixing, tokens.
 
+Each stage takes the documents its predecessor kept and calls one operator of `panelyard.llm`. All
+but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from panelyard.llm import byte_bpe, exact_dedup, mixing, simhash_dedup, toxicity
+from panelyard.llm.store import stored, table
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores under 0.5; it is fitted to labels of these documents."""
+    return toxicity.kept_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id."""
+    return exact_dedup.kept_documents(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the document with the smallest id."""
+    return simhash_dedup.kept_documents(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes: documents as often as it takes them whole, and the blocks of a
+    document that it takes once more as a further row."""
+    return mixing.mixed_documents(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every row of the mix."""
+    return byte_bpe.round_trip(docs, *byte_bpe.tokenizer())
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("exact_dedup", without_copies),
+    ("near_dedup", without_near_copies),
+    ("mixing", mixed),
+    ("byte_bpe", tokens),
+]
+
+#: A trained classifier, components of fingerprints and BPE are not SQL.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`, each written and read again before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage_{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
