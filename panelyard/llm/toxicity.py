@@ -111,28 +111,29 @@ def train(docs: DataFrame, labels: DataFrame, counterfactual: float = COUNTERFAC
     n, n_toxic = size[0], size[1] or 0
     if not n:
         return {"": -20.0}
-    picked = _informative(rows, n, n_toxic)
-    place = {name: i for i, name in enumerate(sorted(r["feature"] for r in picked.collect()))}
-    names = F.broadcast(picked.select("feature"))
+    names = sorted(r["feature"] for r in _informative(rows, n, n_toxic).collect())
+    # At most FEATURES names, and of each sampled row the numbers of those it has.
+    numbers = F.broadcast(docs.sparkSession.createDataFrame([*enumerate(names)], "number int, feature string"))
     found = {}
     for side in ("own", "other"):
-        pairs = rows.select("row", "toxic", F.explode(side).alias("feature")).join(names, "feature")
-        found[side] = pairs.groupBy("row").agg(F.collect_list("feature").alias("features"))
+        pairs = rows.select("row", F.explode(side).alias("feature")).join(numbers, "feature")
+        found[side] = pairs.groupBy("row").agg(F.collect_list("number").alias(f"{side}_numbers"))
     sample = (
         rows.select("row", "toxic", F.col("other").isNotNull().alias("has_other"))
         .join(found["own"], "row", "left")
-        .join(found["other"].withColumnRenamed("features", "others"), "row", "left")
+        .join(found["other"], "row", "left")
         .orderBy("row")
-        .collect()
+        .toArrow()
     )
+    own, other = sample["own_numbers"].to_pylist(), sample["other_numbers"].to_pylist()
     weights = fit(
-        [[place[f] for f in r["features"] or []] for r in sample],
-        [[place[f] for f in r["others"] or []] if r["has_other"] else None for r in sample],
-        np.array([float(r["toxic"]) for r in sample]),
-        len(place),
+        [x or [] for x in own],
+        [(x or []) if paired else None for x, paired in zip(other, sample["has_other"].to_pylist())],
+        np.array(sample["toxic"].to_pylist(), float),
+        len(names),
         counterfactual,
     )
-    return {"": float(weights[-1])} | {name: float(weights[i]) for name, i in place.items()}
+    return {"": float(weights[-1])} | {name: float(w) for name, w in zip(names, weights)}
 
 
 def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
