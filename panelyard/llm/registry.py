@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelyard.llm import byte_bpe, exact_dedup, mixing, pii, secret_scan, simhash_dedup, suffix_dedup, top_k, toxicity
+from panelyard.llm import byte_bpe, exact_dedup, html_extract, mixing, pii, secret_scan, simhash_dedup, suffix_dedup, top_k, toxicity
 
 QUERIES = {
     "op1_top_k": top_k.op1_top_k,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_pii": pii.op7_pii,
+    "op8_html_extract": html_extract.op8_html_extract,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
