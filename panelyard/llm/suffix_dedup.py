@@ -15,8 +15,10 @@ matter. So the suffixes are first dealt so that equal ones meet, and few others
    repeated windows.
 
 An anchor with more contexts than a shard takes is not sorted in one task: its windows are counted
-by digest instead, aggregated before the shuffle. Documents move once, to a table that later passes
-read bucket by bucket.
+by digest, aggregated before the shuffle, in pieces of `PIECE_WINDOWS` at equal places about the
+anchor. The bytes that all windows of a piece hold must occur twice for one of them to; whole pieces
+that occur twice are done; only pieces in between are taken window by window. Documents move once,
+to a table that later passes read bucket by bucket.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from panelyard.llm.store import arrow_map, new_path, stored, table
 LENGTH, GRAM = 200, 48
 #: Bytes hashed at once, and contexts of one anchor that are sorted in a shard.
 PIECE, SHARD_CONTEXTS = 1_000_000, 1_000
+#: Windows of a piece of the contexts of an anchor that has more of them.
+PIECE_WINDOWS = 8
 #: A byte that no UTF-8 text holds; it ends a context in a shard's text.
 END = 0xFF
 
@@ -80,12 +84,13 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 def anchors(octets: np.ndarray, starts: np.ndarray, powers, length: int = LENGTH, gram: int = GRAM):
     """Contexts of texts laid end to end (`starts`: where each begins, and the end of all).
 
-    Returns the anchor hash, the text, the first window and the number of windows of each context.
+    Returns the anchor hash, the text, the first window, the number of windows and the place of the
+    anchor in the first window, of each context.
     Ties go to the leftmost string, so the choice depends on a window's bytes alone.
     """
     none = np.zeros(0, np.int64)
     if len(octets) < length:
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none
     hashes = _gram_hashes(octets, gram, powers)
     bits = np.uint64(max(1, int(len(octets)).bit_length()))
     ranked = (hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64)
@@ -94,13 +99,13 @@ def anchors(octets: np.ndarray, starts: np.ndarray, powers, length: int = LENGTH
     text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[: len(at)]
     inside = np.flatnonzero(np.arange(len(at)) + length <= starts[text + 1])
     if not len(inside):
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none
     at, text = at[inside], text[inside]
     new = np.flatnonzero((at[1:] != at[:-1]) | (text[1:] != text[:-1])) + 1
     first = np.concatenate([[0], new])
     windows = np.diff(np.concatenate([first, [len(at)]]))
     # Windows of one anchor and text lie side by side: nothing of the text is left out between them.
-    return hashes[at[first]], text[first], inside[first], windows
+    return hashes[at[first]], text[first], inside[first], windows, at[first] - inside[first]
 
 
 def _pieces(texts: list[bytes]) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
@@ -129,7 +134,7 @@ def _ends(parts: list[bytes]) -> list[tuple[int, int]]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """`anchor, digest, row, start, windows` for the contexts of `row, octets`."""
+    """`anchor, digest, row, start, windows, place` for the contexts of `row, octets`."""
     powers = None
     for batch in batches:
         for begin in range(0, batch.num_rows, 512):
@@ -140,7 +145,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 starts = np.concatenate([[0], np.cumsum([m[1] for m in marks[n:]])])
                 if powers is None or len(powers[0]) <= len(joined):
                     powers = _powers(max(len(joined), PIECE * 2))
-                anchor, text, first, windows = anchors(np.frombuffer(joined, np.uint8), starts, powers)
+                anchor, text, first, windows, place = anchors(np.frombuffer(joined, np.uint8), starts, powers)
                 digest = np.fromiter(
                     (xxhash.xxh3_64_intdigest(joined[a : a + w + LENGTH - 1]) for a, w in zip(first.tolist(), windows.tolist())),
                     np.uint64,
@@ -154,9 +159,10 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         pa.array(digest.view(np.int64)),
                         pa.array(rows[owner[text]]),
                         pa.array(first - starts[text] + offset[text]),
-                        pa.array(windows.astype(np.int32)),
+                        pa.array(windows.astype(np.int16)),
+                        pa.array(place.astype(np.int16)),
                     ],
-                    ["anchor", "digest", "row", "start", "windows"],
+                    ["anchor", "digest", "row", "start", "windows", "place"],
                 )
 
 
@@ -247,11 +253,11 @@ def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     def emit(rows):
         out = []
         for (_, row, start, _), found in zip(rows, repeated_starts([r[3] for r in rows])):
-            out += [(row, start + a, n) for a, n in _runs(found)]
+            out += [(row, start + a, n) for a, n in _runs(found)]  # a context has few windows
         if out:
             row, start, windows = zip(*out)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row, pa.int64()), pa.array(start, pa.int64()), pa.array(windows, pa.int32())],
+                [pa.array(row, pa.int64()), pa.array(start, pa.int64()), pa.array(windows, pa.int16())],
                 ["row", "start", "windows"],
             )
 
@@ -265,32 +271,88 @@ def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield from emit(held)
 
 
-def _window_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """`low, high, row, start` for each window of the contexts of crowded anchors."""
+def _pieces_of_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`core, whole, row, start, octets` for the pieces of contexts (`row, start, place, context`).
+
+    `core` is the digest of what all windows at these places hold, `whole` that of the piece (null
+    if the context does not have all its windows).
+    """
     for batch in batches:
         for begin in range(0, batch.num_rows, 256):
             part = batch.slice(begin, 256)
-            digests, rows, starts = [], [], []
-            for _, row, start, context in zip(*(part.column(i).to_pylist() for i in range(4))):
-                for i in range(len(context) - LENGTH + 1):
-                    digests.append(xxhash.xxh3_128_digest(context[i : i + LENGTH]))
-                    rows.append(row)
-                    starts.append(start + i)
+            out: list[tuple] = []
+            for row, start, place, context in zip(*(part.column(i).to_pylist() for i in range(4))):
+                windows = len(context) - LENGTH + 1
+                # Place of the context's start on the anchor's grid; LENGTH keeps it positive.
+                shift = LENGTH - place
+                first = 0
+                while first < windows:
+                    cell = (first + shift) // PIECE_WINDOWS
+                    low = cell * PIECE_WINDOWS - shift
+                    end = min(low + PIECE_WINDOWS, windows)
+                    core = b"%d " % cell + context[low + PIECE_WINDOWS - 1 : low + LENGTH]
+                    full = low == first and end == low + PIECE_WINDOWS
+                    octets = context[first : end + LENGTH - 1]
+                    out.append(
+                        (xxhash.xxh3_128_digest(core), xxhash.xxh3_128_digest(octets) if full else None, row, start + first, octets)
+                    )
+                    first = end
+            core, whole, row, start, octets = zip(*out) if out else [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array(digests, pa.binary()), pa.array(rows, pa.int64()), pa.array(starts, pa.int64())],
-                ["window", "row", "start"],
+                [pa.array(core, pa.binary()), pa.array(whole, pa.binary()), pa.array(row, pa.int64()), pa.array(start, pa.int64()), pa.array(octets, pa.binary())],
+                ["core", "whole", "row", "start", "octets"],
             )
 
 
+def _window_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`window, row, start` for each window of pieces (`row, start, octets`)."""
+    for batch in batches:
+        out: list[tuple] = []
+        for row, start, octets in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for i in range(len(octets) - LENGTH + 1):
+                out.append((xxhash.xxh3_128_digest(octets[i : i + LENGTH]), row, start + i))
+        window, row, start = zip(*out) if out else [()] * 3
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(window, pa.binary()), pa.array(row, pa.int64()), pa.array(start, pa.int64())], ["window", "row", "start"]
+        )
+
+
+def _crowded_windows(contexts: DataFrame) -> DataFrame:
+    """`row, start, windows` of repeated windows among the contexts of crowded anchors."""
+    pieces = stored(
+        arrow_map(
+            contexts.select("row", "start", "place", "context"),
+            _pieces_of_contexts,
+            "core binary, whole binary, row bigint, start bigint, octets binary",
+        ),
+        "pieces",
+    )
+    cores = pieces.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
+    able = stored(pieces.join(stored(cores, "cores"), "core", "left_semi").drop("core"), "able_pieces")
+    doubles = stored(
+        able.where("whole IS NOT NULL").groupBy("whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start")).alias("one")).where("n > 1"),
+        "double_pieces",
+    )
+    marked = able.join(doubles, "whole", "left")
+    full = marked.where("n > 1").select("row", "start", F.lit(PIECE_WINDOWS).cast("smallint").alias("windows"))
+    one = (F.col("one.row") == F.col("row")) & (F.col("one.start") == F.col("start"))
+    rest = marked.where(F.col("n").isNull() | one).select("row", "start", "octets")
+    windows = stored(arrow_map(rest, _window_digests, "window binary, row bigint, start bigint"), "windows")
+    twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
+    single = windows.join(stored(twice, "double_windows"), "window", "left_semi")
+    return full.unionByName(single.select("row", "start", F.lit(1).cast("smallint").alias("windows")))
+
+
 def repeated_windows(texts: DataFrame) -> DataFrame:
     """`row, start, windows`: runs of windows of `texts` (`row, octets`) that start elsewhere too."""
     found = stored(
-        arrow_map(texts, _contexts, "anchor bigint, digest bigint, row bigint, start bigint, windows int"), "contexts"
+        arrow_map(texts, _contexts, "anchor bigint, digest bigint, row bigint, start bigint, windows smallint, place smallint"), "contexts"
     )
     again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    shared = stored(found.join(again, "anchor", "left_semi"), "shared_contexts")
+    # Written first: a join of two plain exchanges is one whose hot keys Spark can split.
+    shared = stored(found.join(stored(again, "shared_anchors"), "anchor", "left_semi"), "shared_contexts")
     kinds = stored(
-        shared.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "start", "windows")).alias("one")),
+        shared.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "start", "windows", "place")).alias("one")),
         "context_kinds",
     )
     # Contexts with a double are repeated as a whole.
@@ -302,7 +364,7 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
         kinds.join(differing, "anchor")
         .select("anchor", "one.*", "kinds")
         .groupBy("row")
-        .agg(F.collect_list(F.struct("anchor", "start", "windows", "kinds")).alias("spans"))
+        .agg(F.collect_list(F.struct("anchor", "start", "windows", "place", "kinds")).alias("spans"))
     )
     cut = (
         texts.join(spans.hint("shuffle_hash"), "row")
@@ -311,18 +373,16 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
             "s.anchor",
             "row",
             "s.start",
-            F.substring("octets", F.col("s.start").cast("int") + 1, F.col("s.windows") + (LENGTH - 1)).alias("context"),
+            F.substring("octets", F.col("s.start").cast("int") + 1, F.col("s.windows").cast("int") + (LENGTH - 1)).alias("context"),
+            "s.place",
             "s.kinds",
         )
     )
     cut = stored(cut, "differing_contexts")
-    in_shards = cut.where(F.col("kinds") <= SHARD_CONTEXTS).drop("kinds")
+    in_shards = cut.where(F.col("kinds") <= SHARD_CONTEXTS).select("anchor", "row", "start", "context")
     in_shards = in_shards.repartition("anchor").sortWithinPartitions("anchor")
-    from_shards = arrow_map(in_shards, _sorted_shards, "row bigint, start bigint, windows int")
-    crowded = cut.where(F.col("kinds") > SHARD_CONTEXTS).drop("kinds")
-    windows = arrow_map(crowded, _window_digests, "window binary, row bigint, start bigint")
-    twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
-    from_crowded = windows.join(twice, "window", "left_semi").select("row", "start", F.lit(1).alias("windows"))
+    from_shards = arrow_map(in_shards, _sorted_shards, "row bigint, start bigint, windows smallint")
+    from_crowded = _crowded_windows(cut.where(F.col("kinds") > SHARD_CONTEXTS))
     return whole.unionByName(from_shards).unionByName(from_crowded)
 
 
