@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.contract import SECTION, SERIES
+from panelyard.sources.panel_io import stored
 
 # Rows a single window group may hold before it is split.
 GROUP_ROW_LIMIT = 1_000_000
@@ -36,8 +37,8 @@ def largest_group(df: DataFrame, keys) -> int:
 
 
 def hot_keys(df: DataFrame, keys, limit: int) -> DataFrame:
-    """Keys of the groups above `limit`. There are at most rows / limit of them."""
-    return df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
+    """Keys of the groups above `limit`, counted once and stored."""
+    return stored(df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys), "hot-keys")
 
 
 def measure(df: DataFrame, limit: int = GROUP_ROW_LIMIT) -> GroupSizes:
@@ -52,17 +53,10 @@ def measure(df: DataFrame, limit: int = GROUP_ROW_LIMIT) -> GroupSizes:
     )
 
 
-def same_key(left: DataFrame, right: DataFrame, keys):
-    """Equality on `keys` that also matches nulls."""
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & left[k].eqNullSafe(right[k])
-    return condition
-
-
 def split_hot(df: DataFrame, hot: DataFrame, keys) -> tuple[DataFrame, DataFrame]:
-    """(ordinary rows, rows of hot groups). The key list is bounded by rows / limit."""
-    marked = F.broadcast(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
+    """(ordinary rows, rows of hot groups). The keys are a stored table of known size: Spark
+    broadcasts them while they are under its threshold."""
+    marked = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
     condition = F.lit(True)
     for k in keys:
         condition = condition & df[k].eqNullSafe(marked[f"_hot_{k}"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelyard.contract import CANDIDATES, MIN_ROUNDS
 from panelyard.functions.metrics import weighted_skill
+from panelyard.sources.panel_io import small_side
 
 
 def score(df: DataFrame, by: Sequence[str] = (), y="y_target", prediction="prediction", weight="weight"):
@@ -55,11 +56,16 @@ def select_candidate(scores: DataFrame) -> DataFrame:
 
 
 def apply_selection(df: DataFrame, selected: DataFrame, names=CANDIDATES, prefix: str = "pred_") -> DataFrame:
-    """Add `prediction`: the column of the candidate chosen for the row's horizon."""
-    joined = df.join(selected.select("horizon", "candidate"), "horizon")
-    value: Column = F.lit(None).cast("double")
+    """Add `prediction`: the column of the candidate chosen for the row's horizon.
+
+    Every row stays: one whose horizon has no selection, or an unknown candidate, fails the job.
+    """
+    chosen = small_side(selected.select("horizon", "candidate"), "selected")
+    joined = df.join(chosen, "horizon", "left")
+    lost = F.raise_error(F.concat(F.lit("no selected candidate for horizon "), F.coalesce(F.col("horizon").cast("string"), F.lit("null"))))
+    value: Column = F.when(F.coalesce(~F.col("candidate").isin(*names), F.lit(True)), lost.cast("double"))
     for n in names:
-        value = F.when(F.col("candidate") == n, F.col(f"{prefix}{n}")).otherwise(value)
+        value = value.when(F.col("candidate") == n, F.col(f"{prefix}{n}"))
     return joined.withColumn("prediction", value)
 
 

@@ -111,18 +111,16 @@ def fill_series(
 ) -> DataFrame:
     """Replace nulls by the last (or next) non-null value of the series."""
 
-    def frame(keys, order):
-        w = Window.partitionBy(*keys).orderBy(order)
-        if forward:
-            return w.rowsBetween(Window.unboundedPreceding, 0)
-        return w.rowsBetween(0, Window.unboundedFollowing)
+    def ordered(keys, order: str):
+        # A running frame in either direction; one that ends at the last row is computed anew for
+        # every row.
+        return Window.partitionBy(*keys).orderBy(F.asc(order) if forward else F.desc(order))
 
     def pick(column: str, window) -> Column:
-        value = F.last(column, ignorenulls=True) if forward else F.first(column, ignorenulls=True)
-        return value.over(window)
+        return F.last(column, ignorenulls=True).over(window)
 
     def local(rows: DataFrame, keys: list[str]) -> DataFrame:
-        w = frame(keys, "ts_index")
+        w = ordered(keys, "ts_index").rowsBetween(Window.unboundedPreceding, 0)
         return rows.select(*[pick(c, w).alias(c) if c in columns else F.col(c) for c in rows.columns])
 
     if sizes.hot_series is None:
@@ -135,8 +133,7 @@ def fill_series(
     edges = chunked.groupBy(*chunk_keys).agg(
         *[edge(c, F.when(F.col(c).isNotNull(), F.col("ts_index"))).alias(c) for c in columns]
     )
-    w = Window.partitionBy(*SERIES).orderBy("_chunk")
-    w = w.rowsBetween(Window.unboundedPreceding, -1) if forward else w.rowsBetween(1, Window.unboundedFollowing)
+    w = ordered(SERIES, "_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = edges.select(
         *[F.col(k).alias(f"_e_{k}") for k in chunk_keys], *[pick(c, w).alias(f"_e_{c}") for c in columns]
     )

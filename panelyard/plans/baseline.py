@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from panelyard.contract import VAL_RATIO
 from panelyard.operators.scoring import score_by_horizon
 from panelyard.operators.splits import split_at, time_split
+from panelyard.sources.panel_io import small_side
 
 
 def horizon_mean_predictions(fit: DataFrame, val: DataFrame) -> DataFrame:
     """Validation rows with the fit mean of their horizon; 0.0 for a horizon never seen."""
     means = fit.groupBy("horizon").agg(F.avg("y_target").alias("_mean"))
-    joined = val.join(means, "horizon", "left")
+    joined = val.join(small_side(means, "horizon-means"), "horizon", "left")
     return joined.select(*val.columns, F.coalesce("_mean", F.lit(0.0)).alias("prediction"))
 
 

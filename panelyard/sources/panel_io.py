@@ -29,20 +29,14 @@ def read_horizon(
     train_path: str,
     test_path: str,
     horizon: int,
-    max_train_rows: int = 0,
-    max_test_rows: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows of one horizon: filter and columns reach the parquet scan.
-
-    The optional development caps keep the last train rows and the first test rows in
-    series order.
-    """
+    """Train and test rows of one horizon: filter and columns reach the parquet scan."""
     train_raw = spark.read.parquet(train_path)
     features = feature_columns(train_raw)
     only = F.col("horizon") == horizon
     train = train_raw.where(only).select("id", *KEY_COLUMNS, "weight", "y_target", *features)
     test = spark.read.parquet(test_path).where(only).select("id", *KEY_COLUMNS, *features)
-    return cap_tail(nan_to_null(train), max_train_rows), cap_head(nan_to_null(test), max_test_rows)
+    return nan_to_null(train), nan_to_null(test)
 
 
 def cap_tail(df: DataFrame, n: int) -> DataFrame:
@@ -177,6 +171,17 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     return spark.read.schema(_stored_schema(df, partition_by)).parquet(path)
 
 
+#: Rows up to which a side is broadcast by hint.
+SMALL_ROWS = 10_000
+
+
+def small_side(df: DataFrame, name: str) -> DataFrame:
+    """`df` stored and counted; with few rows (one per horizon, say) marked for broadcast, so that
+    the other side is not dealt out by a key of few values."""
+    kept = stored(df, name)
+    return F.broadcast(kept) if kept.count() <= SMALL_ROWS else kept
+
+
 def _stored_schema(df: DataFrame, partition_by) -> T.StructType:
     """Partition columns keep their declared type instead of an inferred one."""
     fields = [f for f in df.schema.fields if f.name not in partition_by]

@@ -47,7 +47,7 @@ def test_horizon_scan_reaches_parquet(spark, train, test_rows, tmp_path):
     plan = a._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(horizon,10)" in plan and "extra" not in plan
     assert "y_target" not in b.columns
-    capped, head = panel_io.read_horizon(spark, f"{tmp_path}/train", f"{tmp_path}/test", 10, 25, 13)
+    capped, head = panel_io.cap_tail(a, 25), panel_io.cap_head(b, 13)
     assert capped.count() == 25 and head.count() == 13
     last = a.toPandas().sort_values(["code", "sub_code", "sub_category", "horizon", "ts_index"]).tail(25)
     assert set(capped.toPandas()["id"]) == set(last["id"])

@@ -79,14 +79,33 @@ def test_best_round_and_reproducibility(spark):
 
 
 def test_category_coding(spark):
-    rows = [(f"c{i % 3}", f"s{i}", float(i % 3)) for i in range(60)]
+    rows = [(f"c{i % 3}", f"s{i}", float(i % 3)) for i in range(60)] + [(None, "s0", 7.0)]
     df = spark.createDataFrame(rows, "code string, sub_code string, y_target double")
-    plan = plan_categories(df, ["code", "sub_code"], 32)
-    assert plan.wide == ("sub_code",)
-    coder = fit_coder(df, plan)
-    out = coder.apply(df.unionByName(spark.createDataFrame([("new", "new", 0.0)], df.schema))).collect()
-    assert all(r["sub_code_idx"] == r["y_target"] for r in out if r["code"] != "new")
-    assert {r["code_idx"] for r in out if r["code"] == "new"} == {3.0}
+    unseen = spark.createDataFrame([("new", "new", 0.0)], df.schema)
+    overall = sum(r[2] for r in rows) / len(rows)
+    coder = fit_coder(df, plan_categories(df, ["code", "sub_code"]))
+    out = coder.apply(df.unionByName(unseen)).collect()
+    assert {r["code_idx"] for r in out if r["code"] is None} == {7.0}
+    assert all(r["code_idx"] == r["y_target"] for r in out if r["code"] in ("c0", "c1", "c2"))
+    assert [(r["code_idx"], r["sub_code_idx"]) for r in out if r["code"] == "new"] == [(overall, overall)]
+    labels = fit_coder(df, plan_categories(df, ["code", "sub_code"], labelled=["code"])).apply(unseen).first()
+    assert labels["code_idx"] == 3.0 and labels["sub_code_idx"] == overall
+
+
+def test_category_coding_is_the_same_at_every_size(spark):
+    for values in (5, 5000):
+        df = spark.range(values).selectExpr("CAST(id AS string) AS code", "CAST(id AS double) AS y_target")
+        plan = plan_categories(df, ["code"])
+        assert plan.wide == ("code",) and plan.indexer is None
+
+
+def test_selection_keeps_every_row_or_fails(spark):
+    rows = spark.createDataFrame([(1, 0.1, 0.2), (3, 0.3, 0.4)], "horizon int, pred_lgb double, pred_xgb double")
+    chosen = spark.createDataFrame([(1, "xgb")], "horizon int, candidate string")
+    picked = scoring.apply_selection(rows.where("horizon = 1"), chosen, names=("lgb", "xgb"))
+    assert [r["prediction"] for r in picked.collect()] == [0.2]
+    with pytest.raises(Exception, match="no selected candidate"):
+        scoring.apply_selection(rows, chosen, names=("lgb", "xgb")).collect()
 
 
 def test_selection_prefers_the_first_on_ties(spark):
