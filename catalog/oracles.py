@@ -366,7 +366,7 @@ ORACLES = {
         ENCODED,
     ),
     "lag_block": q(
-        "SELECT id, " + ", ".join(r(lag(c, k), f"{c}_lag{k}") for c in PAIR for k in (1, 2, 3, 10, 20, 40)) + " FROM panel"
+        "SELECT id, " + ", ".join(r(lag(c, k), f"{c}_lag{k}") for c in PAIR for k in (1, 2, 3, 5, 10, 20, 40)) + " FROM panel"
     ),
     "momentum_block": q(
         "SELECT id, "
@@ -444,23 +444,23 @@ ORACLES = {
     ),
     "context_lags": q(
         "SELECT id, "
-        + ", ".join(r(lag(c, k), f"{c}_lag{k}") for c in PAIR for k in (1, 3, 5, 10, 25))
+        + ", ".join(r(lag(c, k), f"{c}_lag{k}") for c in FEATURES for k in (1, 3, 5, 10, 25))
         + ", "
-        + ", ".join(r(f"{c} - {lag(c, 1)}", f"{c}_diff1") for c in PAIR)
+        + ", ".join(r(f"{c} - {lag(c, 1)}", f"{c}_diff1") for c in FEATURES)
         + " FROM panel"
     ),
     "rolling_current_block": q(
         "SELECT id, "
         + ", ".join(
             r(frame(f, c, f"{n - 1} PRECEDING", "CURRENT ROW"), f"{c}_{tag}{n}")
-            for c in PAIR
+            for c in FEATURES
             for n in (5, 10)
             for f, tag in (("avg", "roll"), ("stddev_samp", "rollstd"))
         )
         + " FROM panel"
     ),
     "ewm_current_block": q(
-        "SELECT id, " + ", ".join(r(f"y_{c}_5", f"{c}_ewm5") for c in PAIR) + " FROM walk", ewm_cte((5,), PAIR)
+        "SELECT id, " + ", ".join(r(f"y_{c}_5", f"{c}_ewm5") for c in FEATURES) + " FROM walk", ewm_cte((5,), FEATURES)
     ),
     "cs_z_two_level": q(
         "SELECT id, " + ", ".join(r(_z(c, "nullif({std}, 0) + 1e-6"), f"{c}_cs_z") for c in FEATURES) + " FROM panel"

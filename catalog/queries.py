@@ -6,6 +6,7 @@ Doubles are rounded so that results can be compared across engines.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from dataclasses import replace
 
@@ -267,11 +268,11 @@ def _config(spark, sf, **switches):
 def _lagged(spark, sf, pattern, **switches):
     config = _config(spark, sf, **switches)
     out = rf.lag_features(_panel(spark, sf), config, _sizes(spark, sf))
-    return rounded(out.select("id", *[c for c in out.columns if pattern in c]))
+    return rounded(out.select("id", *[c for c in out.columns if re.search(pattern, c)]))
 
 
 def lag_block(spark, sf):
-    return _lagged(spark, sf, "_lag", windows=(), spans=(), lags=(1, 2, 3, 10, 20, 40))
+    return _lagged(spark, sf, r"^(?!.*_mom_).*_lag\d+$", windows=(), spans=(), lags=(1, 2, 3, 5, 10, 20, 40))
 
 
 def momentum_block(spark, sf):
@@ -322,7 +323,7 @@ def temporal_impute(spark, sf):
 
 
 def _context(spark, sf):
-    return ctx.series_context(_panel(spark, sf), LAG_COLUMNS, _sizes(spark, sf))
+    return ctx.series_context(_panel(spark, sf), CONTEXT_SIGNALS, _sizes(spark, sf))
 
 
 def context_lags(spark, sf):
