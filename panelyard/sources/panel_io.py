@@ -160,10 +160,23 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+def run_folder(spark: SparkSession) -> str:
+    """This application's folder below the shared one. It is marked to go when the driver's JVM
+    ends, through the file system it lies in."""
+    context = spark.sparkContext
+    folder = f"{shared_folder(spark)}/panelyard-{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return folder
+
+
 def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write `df` once to the shared folder and read it back: lineage ends here."""
+    """Write `df` once to the run's folder and read it back: lineage ends here."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)

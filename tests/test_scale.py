@@ -1,6 +1,9 @@
 """Plans and run times that must hold on larger tables."""
 
+import subprocess
+import sys
 import time
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -39,3 +42,25 @@ def test_selection_does_not_shuffle_on_horizon(spark, train):
         assert exchanges(scoring.apply_selection(rows, chosen, names=("lgb",))) == 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_stored_tables_go_with_the_driver(tmp_path):
+    root = Path(__file__).resolve().parents[1]
+    script = (
+        "from pyspark.sql import SparkSession\n"
+        f"s = SparkSession.builder.master('local[1]').config('spark.checkpoint.dir', '{tmp_path}')"
+        ".config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "from panelyard.sources.panel_io import run_folder, stored\n"
+        "assert stored(s.range(3), 'x').count() == 3\n"
+        "print(run_folder(s))\n"
+        "s.stop()\n"
+    )
+    ran = subprocess.run(
+        [sys.executable, "-c", script], cwd=root, capture_output=True, text=True, timeout=180, check=True
+    )
+    folder = Path(ran.stdout.split()[-1])
+    for _ in range(60):  # the JVM ends a little after the driver's Python
+        if not folder.exists():
+            break
+        time.sleep(0.5)
+    assert folder.parent == tmp_path and not folder.exists()
