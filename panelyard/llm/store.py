@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 import zipfile
@@ -10,28 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelyard.sources.panel_io import shared_folder
-
-
-def run_folder(spark: SparkSession) -> str:
-    """The folder of this application below the shared one; it goes when the driver ends."""
-    folder = f"{shared_folder(spark)}/panelyard-llm-{spark.sparkContext.applicationId}"
-    if folder not in _TO_DROP:
-        _TO_DROP.add(folder)
-        atexit.register(_drop, spark, folder)
-    return folder
-
-
-_TO_DROP: set[str] = set()
-
-
-def _drop(spark: SparkSession, folder: str) -> None:
-    """Delete the run's tables through Spark's own file system client."""
-    context = spark.sparkContext
-    if context._jsc is None or context._jvm is None:  # the session ended before the driver did
-        return
-    path = context._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+from panelyard.sources.panel_io import run_folder
 
 
 def new_path(spark: SparkSession, name: str) -> str:
