@@ -36,7 +36,7 @@ from panelyard.llm.store import arrow_map, new_path, stored, table
 
 LENGTH, GRAM = 200, 48
 #: Bytes hashed at once, and contexts of one anchor that are sorted in a shard.
-PIECE, SHARD_CONTEXTS = 1_000_000, 1_000
+PIECE, SHARD_CONTEXTS = 250_000, 500
 #: Windows of a piece of the contexts of an anchor that has more of them.
 PIECE_WINDOWS = 8
 #: A byte that no UTF-8 text holds; it ends a context in a shard's text.
