@@ -138,7 +138,8 @@ def page_lines(page: str | None) -> list[tuple[int, str]]:
             continue
         if name not in BLOCKS and name not in FURNITURE_TAGS and name not in ("span", "a", "font"):
             continue
-        is_furniture = _is_furniture(name, m[3]) and bool(closing_left.get(name))
+        # The header of an article holds its title.
+        is_furniture = _is_furniture("div" if name == "header" and article else name, m[3]) and bool(closing_left.get(name))
         if name not in BLOCKS and not is_furniture:
             continue
         if name == "p" and open_tags and open_tags[-1][0] == "p":

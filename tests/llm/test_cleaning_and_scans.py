@@ -237,6 +237,8 @@ def test_page_lines_and_zones():
         '<div class=comments>no</div><!-- <p>gone</p> --></article><footer>f</footer></body>'
     )
     assert [t for z, t in lines(page) if z == html_extract.ARTICLE] == ["A & B", "x y zw", "q 4 < 5 6"]
+    own = "<header>site</header><article><header><h1>T</h1></header><p>x</p></article>"
+    assert [t for z, t in lines(own) if z == html_extract.ARTICLE] == ["T", "x"]
     assert lines("<nav>open <p>text</p>") == [(html_extract.BODY, "open"), (html_extract.BODY, "text")]
     assert lines(None) == lines("") == [] and lines("plain &lt;t") == [(html_extract.BODY, "plain <t")]
 
