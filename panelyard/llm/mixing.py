@@ -189,7 +189,7 @@ def _mixed(sizes: DataFrame, weights, blocks, repeats, seed) -> DataFrame:
     parts = (
         placed.where((F.col("size") > 0) & (F.col("rest") > 0))
         .select("source", "shard", "_row", "start", "size", "block", F.explode(F.sequence(F.floor(F.col("start") / F.col("block")), F.floor((F.col("start") + F.col("size") - 1) / F.col("block")))).alias("b"))
-        .join(chosen, _same_source("source", "_source") & (F.col("shard") == F.col("_shard")) & (F.col("b") == F.col("_b")))
+        .join(chosen.hint("merge"), _same_source("source", "_source") & (F.col("shard") == F.col("_shard")) & (F.col("b") == F.col("_b")))
         .select(
             "source", "shard", "_row",
             (F.greatest(F.col("b") * F.col("block"), F.col("start")) - F.col("start")).alias("from"),
@@ -202,8 +202,9 @@ def _mixed(sizes: DataFrame, weights, blocks, repeats, seed) -> DataFrame:
             F.sort_array(F.collect_list(F.struct("from", "to"))).alias("ranges"),
         )
     )
+    # Blocks and parts come from small tables and are not small: no estimate is to broadcast them.
     return placed.join(
-        parts,
+        parts.hint("merge"),
         _same_source("source", "_source") & (F.col("shard") == F.col("_shard")) & (F.col("_row") == F.col("_r")),
         "left",
     ).withColumn("taken", F.col("laps") * F.col("size") + F.coalesce(F.col("part"), F.lit(0)))
@@ -245,7 +246,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     )
     mixed = mixed.where("taken > 0").dropDuplicates(["_id", "_source", "_size"])
     both = docs.withColumn("_words", word_count(F.col("text"))).join(
-        mixed,
+        mixed.hint("merge"),
         F.col("doc_id").eqNullSafe(F.col("_id")) & _same_source("source", "_source") & (F.col("_words") == F.col("_size")),
     )
     laps = F.floor((F.col("taken") - _part(F.col("ranges"))) / F.col("_size"))
