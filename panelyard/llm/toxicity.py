@@ -125,10 +125,10 @@ def train(docs: DataFrame, labels: DataFrame, counterfactual: float = COUNTERFAC
         .orderBy("row")
         .toArrow()
     )
-    own, other = sample["own_numbers"].to_pylist(), sample["other_numbers"].to_pylist()
+    paired = sample["has_other"].to_pylist()
     weights = fit(
-        [x or [] for x in own],
-        [(x or []) if paired else None for x, paired in zip(other, sample["has_other"].to_pylist())],
+        _arrays(sample["own_numbers"]),
+        [x if pair else None for x, pair in zip(_arrays(sample["other_numbers"]), paired)],
         np.array(sample["toxic"].to_pylist(), float),
         len(names),
         counterfactual,
@@ -136,6 +136,15 @@ def train(docs: DataFrame, labels: DataFrame, counterfactual: float = COUNTERFAC
     return {"": float(weights[-1])} | {name: float(w) for name, w in zip(names, weights)}
 
 
+def _arrays(lists: pa.ChunkedArray) -> list[np.ndarray]:
+    """One array per row; null is empty."""
+    flat = lists.combine_chunks()
+    if isinstance(flat, pa.ChunkedArray):  # no chunk at all
+        return []
+    offsets, values = flat.offsets.to_numpy(), flat.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+
+
 def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 64):
@@ -177,8 +186,8 @@ def _informative(rows: DataFrame, n: int, n_toxic: int) -> DataFrame:
 
 
 def fit(
-    own: list[list[int]],
-    other: list[list[int] | None],
+    own: list[np.ndarray],
+    other: list[np.ndarray | None],
     toxic: np.ndarray,
     n_features: int,
     counterfactual: float = COUNTERFACTUAL,
@@ -192,14 +201,14 @@ def fit(
     def flat(lists):
         return (
             np.repeat(np.arange(len(lists)), [len(x) for x in lists]),
-            np.array([i for x in lists for i in x], np.int64),
+            np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, np.int64) for x in lists)]),
         )
 
     row, column = flat(own)
     paired = [i for i, x in enumerate(other) if x is not None]
     # The difference of a pair: features only in the text count 1, only in its counterfactual -1.
-    gained = [sorted(set(own[i]) - set(other[i])) for i in paired]
-    lost = [sorted(set(other[i]) - set(own[i])) for i in paired]
+    gained = [np.setdiff1d(own[i], other[i]) for i in paired]
+    lost = [np.setdiff1d(other[i], own[i]) for i in paired]
     (gain_row, gain_column), (lose_row, lose_column) = flat(gained), flat(lost)
     n, n_pairs = len(own), max(len(paired), 1)
     rate = (toxic.sum() + 0.5) / (n + 1)
