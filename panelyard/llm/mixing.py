@@ -254,11 +254,14 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
         F.array_repeat(F.lit(False), laps.cast("int")),
         F.when(_part(F.col("ranges")) > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")),
     )
+    rows = both.withColumn("_cut", F.explode(copies))
+    # Used twice, so that the list of words is made once for a row and not for every range.
     words = F.regexp_extract_all(F.col("text"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1)
-    some = F.array_join(
-        F.flatten(F.transform(F.col("ranges"), lambda r: F.slice(words, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")))), ""
+    rows = rows.withColumn("_list", F.when(F.col("_cut"), words))
+    chosen = F.transform(
+        F.col("ranges"), lambda r: F.slice("_list", (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int"))
     )
-    rows = both.withColumn("_cut", F.explode(copies))
+    some = F.when(F.size("_list") > 0, F.array_join(F.flatten(chosen), ""))
     rows = rows.withColumn("text", F.when(F.col("_cut"), some).otherwise(F.col("text")))
     if "n_chars" in columns:
         rows = rows.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
