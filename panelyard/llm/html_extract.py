@@ -3,8 +3,9 @@
 Pages of a host are put in order of their URL path, and each is paired with the neighbour whose path
 it shares the longest start with. Pages become lines (one per block of text) in three zones: the
 article, the plain body, and furniture, which tags and class names tell. The lines of a pair are
-aligned by their longest common subsequence; shared lines go, but for those that are article text on
-both pages (copied articles stay). Then furniture that differs from page to page goes too.
+aligned by their longest common subsequence; shared lines go. Those in the article go too if a third
+page of the host shares them and the articles are no copies as a whole: a passage that just two
+articles have in common is content. Then furniture that differs from page to page goes.
 
 Only hashes of lines are sorted and paired: pages are read twice, and move once, to meet the list of
 their shared lines. The order is cut into ranges of equal size, so a host of a third of all pages is
@@ -158,11 +159,36 @@ def page_lines(page: str | None) -> list[tuple[int, str]]:
 
 
 def main_text(lines: list[tuple[int, str]], shared: set[int]) -> str:
-    """The article of a page, or of one without an article zone the body lines it does not share."""
+    """The lines of a page's article, or of its body if it has no article zone, that it does not share."""
     zone = ARTICLE if any(z == ARTICLE for z, _ in lines) else BODY
     return "\n\n".join(text for i, (z, text) in enumerate(lines) if z == zone and i not in shared)
 
 
+#: Articles are copies when so large a part of the shorter one, in characters, is common.
+COPIED = 0.5
+#: An article line is a site's when so many pages of the host share it with their neighbours.
+LEAST_PAGES = 3
+#: Low bits of a line's hash: article or not, and above it the length of the text as far as it fits.
+LENGTH_BITS = 16
+MOST_LENGTH = (1 << LENGTH_BITS) - 1
+
+
+def line_hash(zone: int, text: str) -> int:
+    """47 bits of the text's hash, its length, and one bit: an article line equals no other zone's line."""
+    digest = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 2 + LENGTH_BITS
+    return (digest << LENGTH_BITS | min(len(text), MOST_LENGTH)) << 1 | (zone == ARTICLE)
+
+
+def article_length(lines: list[int]) -> int:
+    return sum(x >> 1 & MOST_LENGTH for x in lines if x & 1)
+
+
+def copied(lines: list[int], other: list[int], common: list[int]) -> bool:
+    """Whether two articles are copies as a whole; `common` has places in `lines`."""
+    shorter = min(article_length(lines), article_length(other))
+    return article_length([lines[i] for i in common]) > COPIED * shorter
+
+
 def common_lines(a: list[int], b: list[int]) -> list[int]:
     """Places in `a` of a longest common subsequence of `a` and `b`.
 
@@ -241,7 +267,7 @@ def _place(url: str | None) -> tuple[str, str]:
 
 
 def line_hashes(pages: DataFrame) -> DataFrame:
-    """`page_id, page_hash, host, path, lines` of every page; a line is a hash of zone and text."""
+    """`page_id, page_hash, host, path, lines` of every page; a line is a `line_hash`."""
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,13 +276,7 @@ def line_hashes(pages: DataFrame) -> DataFrame:
                 host, path = _place(url.as_py())
                 hosts.append(host)
                 paths.append(path)
-                # An article line equals no other zone's line; its lowest bit is 1.
-                hashes.append(
-                    [
-                        (xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 2 << 1) | (zone == ARTICLE)
-                        for zone, text in page_lines(page.as_py())
-                    ]
-                )
+                hashes.append([line_hash(zone, text) for zone, text in page_lines(page.as_py())])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(hosts), pa.array(paths), pa.array(hashes, pa.list_(pa.int64()))],
                 ["page_id", "page_hash", "host", "path", "lines"],
@@ -301,8 +321,8 @@ def neighbours(hashed: DataFrame) -> DataFrame:
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
-    """`page_id, page_hash, shared`: places of the lines that a page shares with its neighbour and
-    that are not article text.
+    """`page_id, page_hash, shared`: places of the lines that a page shares with its neighbour, in up to
+    two rows per page; article lines are among them as far as they are the site's.
 
     The neighbour is the page whose path has the longest common start, the earlier one of two; a
     neighbour with exactly the same lines is a copy of the page and tells nothing.
@@ -310,22 +330,49 @@ def shared_lines(pages: DataFrame) -> DataFrame:
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for path, lines, before, after in zip(*(batch.column(i) for i in range(2, 6))):
+            found, places, repeated = [], [], []
+            for path, lines, before, after in zip(*(batch.column(i) for i in range(3, 7))):
                 path, lines = path.as_py(), lines.as_py()
                 others = [o for o in (before.as_py(), after.as_py()) if o is not None and o["lines"] != lines]
-                if not others:
-                    found.append([])
-                    continue
-                nearest = max(others, key=lambda o: len(commonprefix([path, o["path"]])))
-                found.append([i for i in common_lines(lines, nearest["lines"]) if not lines[i] & 1])
+                common, in_article = [], []
+                if others:
+                    nearest = max(others, key=lambda o: len(commonprefix([path, o["path"]])))
+                    common = common_lines(lines, nearest["lines"])
+                    if not copied(lines, nearest["lines"], common):
+                        in_article = [i for i in common if lines[i] & 1]
+                found.append([i for i in common if not lines[i] & 1])
+                places.append(in_article)
+                repeated.append([lines[i] for i in in_article])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["page_id", "page_hash", "shared"]
+                [
+                    *(batch.column(i) for i in range(3)),
+                    pa.array(found, pa.list_(pa.int32())),
+                    pa.array(places, pa.list_(pa.int32())),
+                    pa.array(repeated, pa.list_(pa.int64())),
+                ],
+                ["page_id", "page_hash", "host", "shared", "places", "repeated"],
             )
 
     kind = dict(pages.dtypes)["page_id"]
-    paired = neighbours(line_hashes(pages)).select("page_id", "page_hash", "path", "lines", "before", "after")
-    return arrow_map(paired, of_batches, f"page_id {kind}, page_hash bigint, shared array<int>")
+    paired = neighbours(line_hashes(pages)).select("page_id", "page_hash", "host", "path", "lines", "before", "after")
+    found = arrow_map(
+        paired,
+        of_batches,
+        f"page_id {kind}, page_hash bigint, host string, shared array<int>, places array<int>, repeated array<bigint>",
+    )
+    found = stored(found.where("size(shared) + size(places) > 0"), "found")
+    return found.where("size(shared) > 0").select("page_id", "page_hash", "shared").unionByName(_site_lines(found))
+
+
+def _site_lines(found: DataFrame) -> DataFrame:
+    """`page_id, page_hash, shared`: places of the article lines that are shared on enough pages of a host."""
+    once = found.select("host", F.explode(F.array_distinct("repeated")).alias("line"))
+    often = stored(once.groupBy("host", "line").count().where(F.col("count") >= LEAST_PAGES).drop("count"), "site_lines")
+    lines = found.select(
+        "page_id", "page_hash", "host", F.explode(F.arrays_zip(F.col("places").alias("place"), F.col("repeated").alias("line"))).alias("l")
+    )
+    lines = lines.select("page_id", "page_hash", "host", "l.place", "l.line").join(often, ["host", "line"])
+    return lines.groupBy("page_id", "page_hash").agg(F.collect_set("place").alias("shared"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -336,8 +383,10 @@ def extract(pages: DataFrame) -> DataFrame:
     Other columns are not read. An empty table gives an empty result.
     """
     keyed = pages.select("page_id", F.xxhash64("url", "html").alias("page_hash"), "url", "html")
-    shared = stored(shared_lines(keyed).where(F.size("shared") > 0), "shared_lines")
-    shared = shared.groupBy(F.col("page_id").alias("_id"), F.col("page_hash").alias("_hash")).agg(F.min("shared").alias("shared"))
+    shared = stored(shared_lines(keyed), "shared_lines")
+    shared = shared.groupBy(F.col("page_id").alias("_id"), F.col("page_hash").alias("_hash")).agg(
+        F.flatten(F.collect_set("shared")).alias("shared")
+    )
     met = keyed.join(
         shared.hint("shuffle_hash"),
         F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("page_hash") == F.col("_hash")),

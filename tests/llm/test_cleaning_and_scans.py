@@ -268,6 +268,16 @@ def test_copied_articles_stay(spark):
     assert html_extract.extract(pages(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_repeated_lines_of_an_article_go(spark, tag):
+    make = lambda i: f"<{tag}><h1>Title {i}</h1><p>Send this on to a friend</p><p>{f'Words of story {i}. ' * 9}</p><p>All rights reserved</p></{tag}>"
+    rows = [(i, f"http://h.example/news/{i:03}", make(i)) for i in range(6)]
+    for r in html_extract.extract(pages(spark, rows)).collect():
+        assert r.text == f"Title {r.page_id}\n\n" + (f"Words of story {r.page_id}. " * 9).strip()
+    two = {r.page_id: r.text for r in html_extract.extract(pages(spark, rows[:2])).collect()}
+    assert all("Send this on" in text for text in two.values())  # a passage of two pages is no site line yet
+
+
 def test_given_pages_give_their_articles(spark):
     import html
 
