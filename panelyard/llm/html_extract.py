@@ -34,15 +34,21 @@ ARTICLE, BODY, FURNITURE = 0, 1, 2
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "canvas", "object"}
 FURNITURE_TAGS = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "label"}
 FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar"}
-#: Parts of class names and ids that tell furniture.
+#: Words for furniture in class names and ids.
 FURNITURE_NAMES = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu "
     "breadcrumb breadcrumbs sidebar rail header masthead footer cookie cookies consent gdpr notice notices alert popup modal "
     "overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations "
     "comment comments commentlist disqus respond reply replies widget pagination pager toolbar".split()
 )
+#: Words that a name of furniture may have besides: `site-header` and `share-buttons` tell furniture,
+#: `has-sidebar`, `entry-header` and `market-share` do not.
+PLAIN_NAMES = set(
+    "site page global main top bottom primary secondary bar box area block section wrapper wrap container inner outer list item "
+    "items link links button buttons icons form posts articles stories".split()
+)
 #: Elements that never are furniture by name.
-CONTAINERS = {"html", "body", "main", "article"}
+CONTAINERS = {"html", "body", "main"}
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead "
@@ -53,24 +59,79 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 _MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL
 )
-_NAMED = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
-_WORDS = re.compile(r"[a-z]+")
-_HIDDEN = re.compile(r"(?<![\w-])(?:hidden(?![\w-])|aria-hidden\s*=\s*[\"']?true)", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.IGNORECASE)
+
+
+def _names_furniture(token: str) -> bool:
+    words = {w.lower() for w in _WORDS.findall(token)}
+    return bool(words & FURNITURE_NAMES) and words <= FURNITURE_NAMES | PLAIN_NAMES
 
 
 def _is_furniture(tag: str, attributes: str) -> bool:
     if tag in FURNITURE_TAGS:
         return True
-    if tag in CONTAINERS and tag != "article" or not attributes.strip():
+    if tag in CONTAINERS or not attributes.strip():
         return False
-    for name, value in _NAMED.findall(attributes):
-        words = set(_WORDS.findall(value.lower()))
-        if name.lower() == "role":
-            if words & FURNITURE_ROLES:
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.strip("\"'")
+        if name in ("class", "id"):
+            if any(map(_names_furniture, value.split())):
+                return True
+        elif name == "role":
+            if not FURNITURE_ROLES.isdisjoint(value.lower().split()):
+                return True
+        elif name == "style":
+            if _UNSEEN.search(value):
                 return True
-        elif words & FURNITURE_NAMES:
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
-    return _HIDDEN.search(attributes) is not None
+    return False
+
+
+def _zones(nodes: list[tuple[int, str, bool]], lines: list[tuple[int, str]]) -> list[int]:
+    """The zone of each element; `nodes` has parent, name and whether it looks like furniture, `lines`
+    the element of each text.
+
+    What holds the page's article, main element or title is no furniture. The title is the first h1,
+    if there is one in main or an article the first of those; the article is the one around the title,
+    or else the one with the most text.
+    """
+    within: list[int] = []  # the outermost article
+    in_main: list[bool] = []
+    for at, (parent, name, _) in enumerate(nodes):
+        around = within[parent] if parent >= 0 else -1
+        within.append(around if around >= 0 else at if name == "article" else -1)
+        in_main.append(name == "main" or parent >= 0 and in_main[parent])
+    text = [0] * len(nodes)
+    h1s = set()
+    for at, line in lines:
+        if at >= 0 and within[at] >= 0:
+            text[within[at]] += len(line)
+        while at >= 0 and nodes[at][1] != "h1":
+            at = nodes[at][0]
+        h1s.add(at)
+    titles = sorted(h1s - {-1}, key=lambda at: (within[at] < 0 and not in_main[at], at))[:1]
+    articles = [within[at] for at in titles if within[at] >= 0]
+    if not articles and any(text):
+        articles = [max(range(len(nodes)), key=text.__getitem__)]
+    mains = [at for at, node in enumerate(nodes) if node[1] == "main"][:1]
+    kept = set()
+    for at in titles + articles + mains:
+        while at >= 0 and at not in kept:
+            kept.add(at)
+            at = nodes[at][0]
+    zones: list[int] = []
+    for at, (parent, name, looks) in enumerate(nodes):
+        above = zones[parent] if parent >= 0 else BODY
+        if above == FURNITURE or looks and at not in kept:
+            zones.append(FURNITURE)
+        elif above == ARTICLE or name == "article":
+            zones.append(ARTICLE)
+        else:
+            zones.append(-1 if name == "main" else above)
+    return zones
 
 
 def page_lines(page: str | None) -> list[tuple[int, str]]:
@@ -88,18 +149,16 @@ def page_lines(page: str | None) -> list[tuple[int, str]]:
             closing_left[name] = closing_left.get(name, 0) + 1
     lines: list[tuple[int, str]] = []
     parts: list[str] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # name, furniture, article
-    furniture = article = mains = 0
-    zone_seen = set()
+    nodes: list[tuple[int, str, bool]] = []  # parent, name, looks like furniture
+    open_tags: list[int] = []  # places in nodes
+    article = 0
     at, raw = 0, ""
 
     def flush() -> None:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            zone = FURNITURE if furniture else ARTICLE if article else -1 if mains else BODY
-            zone_seen.add(zone)
-            lines.append((zone, text))
+            lines.append((open_tags[-1] if open_tags else -1, text))
 
     for m, name in zip(tokens, names):
         closing = bool(m[1])
@@ -124,12 +183,10 @@ def page_lines(page: str | None) -> list[tuple[int, str]]:
         if name in VOID:
             continue
         if closing:
-            if any(t[0] == name for t in open_tags):
+            if any(nodes[t][1] == name for t in open_tags):
                 while True:
-                    gone, was_furniture, was_article = open_tags.pop()
-                    furniture -= was_furniture
-                    article -= was_article
-                    mains -= gone == "main"
+                    gone = nodes[open_tags.pop()][1]
+                    article -= gone == "article"
                     if gone == name:
                         break
             continue
@@ -143,19 +200,18 @@ def page_lines(page: str | None) -> list[tuple[int, str]]:
         is_furniture = _is_furniture("div" if name == "header" and article else name, m[3]) and bool(closing_left.get(name))
         if name not in BLOCKS and not is_furniture:
             continue
-        if name == "p" and open_tags and open_tags[-1][0] == "p":
+        if name == "p" and open_tags and nodes[open_tags[-1]][1] == "p":
             open_tags.pop()  # a paragraph ends the one before
-        open_tags.append((name, is_furniture, name == "article"))
-        furniture += is_furniture
+        nodes.append((open_tags[-1] if open_tags else -1, name, is_furniture))
+        open_tags.append(len(nodes) - 1)
         article += name == "article"
-        mains += name == "main"
     if not raw and at < len(page):
         parts.append(html.unescape(page[at:]))
     flush()
     # The article is what article elements hold, else the main element; without either, the body is all.
-    if ARTICLE in zone_seen:
-        return [(BODY if z == -1 else z, t) for z, t in lines]
-    return [(ARTICLE if z == -1 else z, t) for z, t in lines]
+    zones = [*_zones(nodes, lines), BODY]  # the last one is for text outside of all elements
+    in_main = BODY if any(zones[n] == ARTICLE for n, _ in lines) else ARTICLE
+    return [(in_main if zones[n] == -1 else zones[n], t) for n, t in lines]
 
 
 def main_text(lines: list[tuple[int, str]], shared: set[int]) -> str:

@@ -243,6 +243,29 @@ def test_page_lines_and_zones():
     assert lines(None) == lines("") == [] and lines("plain &lt;t") == [(html_extract.BODY, "plain <t")]
 
 
+def test_furniture_never_holds_the_article():
+    text = lambda page: html_extract.main_text(html_extract.page_lines(page), set())
+    own = "<article><h1>T</h1><p>words</p></article>"
+    for around in (
+        '<div class="content has-sidebar">%s</div>', '<div class="sidebar">%s</div>', "<form>%s</form>",
+        "<div hidden>%s</div>", '<section class="widget"><div class="modal">%s</div></section>',
+    ):
+        for inner in (own, own.replace("article", "main"), own.replace("article", "div")):
+            assert text(around % inner) == "T\n\nwords", (around, inner)
+    for attribute in (
+        'style="overflow:hidden"', 'title="the hidden valley"', 'class="entry-header"', "id=related-work", 'class="market-share x"',
+        "data-class=\"a class='ad'\"", 'aria-hidden="false"', 'style="background-color:none"',
+    ):
+        assert text(f"<h1>T</h1><div {attribute}><p>words</p></div>") == "T\n\nwords", attribute
+    for attribute in (
+        "hidden", 'style="color:red; display: none"', 'aria-hidden="true"', 'class="x site-footer"', "id='shareButtons'",
+        'class="related-posts"', "role=navigation",
+    ):
+        assert text(f"<h1>T</h1><p>words</p><div {attribute}><p>more</p></div>") == "T\n\nwords", attribute
+    noise = '<div class="comments"><article class="comment"><p>much longer than the article itself</p></article></div>'
+    assert text(own + noise) == "T\n\nwords"
+
+
 def pages(spark, rows):
     return spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string").repartition(4)
 
