@@ -7,8 +7,9 @@ aligned by their longest common subsequence; shared lines go. Those in the artic
 page of the host shares them and the articles are no copies as a whole: a passage that just two
 articles have in common is content. Then furniture that differs from page to page goes.
 
-Only hashes of lines are sorted and paired: pages are read twice, and move once, to meet the list of
-their shared lines. The order is cut into ranges of equal size, so a host of a third of all pages is
+Only hashes of lines are sorted and paired, one row for all pages of a host with the same lines, so a
+run of copies meets the nearest page with other lines. Pages are read twice, and move once, to meet the
+list of their shared lines. The order is cut into ranges of equal size, so a host of a third of all pages is
 many tasks; the first and last page of each range (one row per range) reach over the cuts.
 """
 
@@ -346,9 +347,14 @@ def line_hashes(pages: DataFrame) -> DataFrame:
     )
 
 
+def distinct_pages(hashed: DataFrame) -> DataFrame:
+    """One row per host and list of lines, `host, lines_hash, path, lines`, with the first of its paths."""
+    return hashed.groupBy("host", "lines_hash").agg(F.min("path").alias("path"), F.first("lines").alias("lines"))
+
+
 def neighbours(hashed: DataFrame) -> DataFrame:
     """`hashed` with `before` and `after`: path and lines of the pages next to it in its host's order."""
-    order = ["host", "path", "page_id", "page_hash"]
+    order = ["host", "path", "lines_hash"]
     ranged = stored(
         hashed.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "pages_in_order"
     )
@@ -380,16 +386,16 @@ def shared_lines(pages: DataFrame) -> DataFrame:
     """`page_id, page_hash, shared`: places of the lines that a page shares with its neighbour, in up to
     two rows per page; article lines are among them as far as they are the site's.
 
-    The neighbour is the page whose path has the longest common start, the earlier one of two; a
-    neighbour with exactly the same lines is a copy of the page and tells nothing.
+    The neighbour is the page with other lines whose path has the longest common start, the earlier one
+    of two. Copies share one neighbour, that of the first of their paths.
     """
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, places, repeated = [], [], []
-            for path, lines, before, after in zip(*(batch.column(i) for i in range(3, 7))):
+            for path, lines, before, after in zip(*(batch.column(i) for i in range(2, 6))):
                 path, lines = path.as_py(), lines.as_py()
-                others = [o for o in (before.as_py(), after.as_py()) if o is not None and o["lines"] != lines]
+                others = [o for o in (before.as_py(), after.as_py()) if o is not None]
                 common, in_article = [], []
                 if others:
                     nearest = max(others, key=lambda o: len(commonprefix([path, o["path"]])))
@@ -401,34 +407,34 @@ def shared_lines(pages: DataFrame) -> DataFrame:
                 repeated.append([lines[i] for i in in_article])
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(i) for i in range(3)),
+                    batch.column(0),
+                    batch.column(1),
                     pa.array(found, pa.list_(pa.int32())),
                     pa.array(places, pa.list_(pa.int32())),
                     pa.array(repeated, pa.list_(pa.int64())),
                 ],
-                ["page_id", "page_hash", "host", "shared", "places", "repeated"],
+                ["host", "lines_hash", "shared", "places", "repeated"],
             )
 
-    kind = dict(pages.dtypes)["page_id"]
-    paired = neighbours(line_hashes(pages)).select("page_id", "page_hash", "host", "path", "lines", "before", "after")
+    hashed = stored(line_hashes(pages).withColumn("lines_hash", F.xxhash64("lines")), "line_hashes")
+    paired = neighbours(distinct_pages(hashed)).select("host", "lines_hash", "path", "lines", "before", "after")
     found = arrow_map(
-        paired,
-        of_batches,
-        f"page_id {kind}, page_hash bigint, host string, shared array<int>, places array<int>, repeated array<bigint>",
+        paired, of_batches, "host string, lines_hash bigint, shared array<int>, places array<int>, repeated array<bigint>"
     )
     found = stored(found.where("size(shared) + size(places) > 0"), "found")
-    return found.where("size(shared) > 0").select("page_id", "page_hash", "shared").unionByName(_site_lines(found))
+    found = stored(
+        found.where("size(shared) > 0").select("host", "lines_hash", "shared").unionByName(_site_lines(found)), "shared_by_lines"
+    )
+    return hashed.select("page_id", "page_hash", "host", "lines_hash").join(found, ["host", "lines_hash"]).drop("host", "lines_hash")
 
 
 def _site_lines(found: DataFrame) -> DataFrame:
-    """`page_id, page_hash, shared`: places of the article lines that are shared on enough pages of a host."""
+    """`host, lines_hash, shared`: places of the article lines that are shared on enough pages of a host."""
     once = found.select("host", F.explode(F.array_distinct("repeated")).alias("line"))
     often = stored(once.groupBy("host", "line").count().where(F.col("count") >= LEAST_PAGES).drop("count"), "site_lines")
-    lines = found.select(
-        "page_id", "page_hash", "host", F.explode(F.arrays_zip(F.col("places").alias("place"), F.col("repeated").alias("line"))).alias("l")
-    )
-    lines = lines.select("page_id", "page_hash", "host", "l.place", "l.line").join(often, ["host", "line"])
-    return lines.groupBy("page_id", "page_hash").agg(F.collect_set("place").alias("shared"))
+    zipped = F.arrays_zip(F.col("places").alias("place"), F.col("repeated").alias("line"))
+    lines = found.select("host", "lines_hash", F.explode(zipped).alias("l")).select("host", "lines_hash", "l.place", "l.line")
+    return lines.join(often, ["host", "line"]).groupBy("host", "lines_hash").agg(F.collect_set("place").alias("shared"))
 
 
 def extract(pages: DataFrame) -> DataFrame:

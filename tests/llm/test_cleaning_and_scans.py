@@ -280,6 +280,19 @@ def test_shared_lines_of_near_pages_go(spark):
     assert all(r.n_chars == len(r.text) for r in got.values()) and len(got) == 42
 
 
+def test_copies_meet_the_nearest_page_with_other_lines(spark):
+    make = lambda body: f"<body><div>Site name</div><p>{body}</p><div>Terms of use</div></body>"
+    stories = [0, 0, 1, 2, 2, 2, 2, 3, 4, 4, 4]  # copies first, in the middle and last
+    rows = [(i, f"http://h.example/news/{i:03}", make(f"Story number {s}")) for i, s in enumerate(stories)]
+    rows += [(100, rows[0][1], rows[0][2]), (200, "http://g.example/a", make("Twice")), (201, "http://g.example/b", make("Twice"))]
+    got = {r.page_id: r.text for r in html_extract.extract(pages(spark, rows)).collect()}
+    assert [got[i] for i in range(11)] == [f"Story number {s}" for s in stories] and got[100] == got[0]
+    assert got[200] == got[201] == "Site name\n\nTwice\n\nTerms of use"  # no other page on that host
+    menu = [(i, f"http://h.example/news/{i:03}", make(f"Story number {i}")) for i in range(40)]
+    got = {r.page_id: r.text for r in html_extract.extract(pages(spark, [*menu, (101, menu[0][1], menu[0][2])])).collect()}
+    assert got[0] == got[101] == "Story number 0"
+
+
 def test_copied_articles_stay(spark):
     page = "<nav>menu</nav><article><p>same words</p></article><footer>f</footer>"
     rows = [(1, "http://h.example/a", page), (2, "http://h.example/b", page + "<p>x</p>"), (2, "http://h.example/b", page + "<p>x</p>")]
