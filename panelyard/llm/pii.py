@@ -1,12 +1,13 @@
 """Personal data by patterns, widened by bootstrapped contextual extraction.
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers. They are the seeds: the
-words around them (the word before, the word after) are lexical patterns. In a graph of patterns and
-of the identifier-like words that they surround, scores go to and fro: a pattern scores by the mean
+words around them (the word before, the word after) are lexical patterns. A seed is its whole span,
+and words of digits side by side are one candidate. In a graph of patterns and of the seeds and
+candidates that they surround, scores go to and fro: a pattern scores by the mean
 of its instances, an instance by the chance that one of its patterns is right. Patterns with many
 seeds and a high score then mark the unseen identifiers in their place. DataFrame functions only.
 
-What moves between tasks are identifier-like words and their two neighbours, never texts; pattern
+What moves between tasks are seeds, candidates and their two neighbours, never texts; pattern
 and instance scores are aggregated before they are shuffled.
 """
 
@@ -28,10 +29,10 @@ BASE_RULES = {
     "card": (r"[0-9](?:[\x20-]?[0-9])++", 0),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", 0),
 }
-#: A word with a digit or an "@" may hold an identifier.
-SLOT = (r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+", 0)
-#: What an unseen identifier must hold.
-LEAST_DIGITS = 4
+#: A word with a digit or an "@" may hold an identifier; numbers with one space between are one.
+SLOT = (r"(?<!\S)(?:[(+]*+[0-9][0-9()./+-]*+\x20(?=[(+]*+[0-9][^\s@A-Za-z]*+(?!\S)))*+[^\s0-9@]*+[0-9@]\S*+", 0)
+#: What an unseen identifier must hold; numbers of more digits side by side are several.
+LEAST_DIGITS, MOST_DIGITS = 4, 19
 #: A pattern counts from so many different seeds, and so high a score; rounds of scoring.
 LEAST_SEEDS, LEAST_SCORE, ROUNDS = 5, 0.9, 3
 
@@ -70,8 +71,8 @@ def _valid(kind: str, match: Column) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """`doc_id, text_hash`, the spans of each base kind, and `slots`: every identifier-like word with
-    its neighbours and the kind of the base span that begins in it (or that it lies in)."""
+    """`doc_id, text_hash`, the spans of each base kind, and `slots`: every base span with its kind, and
+    every run of identifier-like words outside of them, with the words around."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     some = F.col("text").rlike("[0-9@]")
     when = {
@@ -94,28 +95,67 @@ def base_spans(docs: DataFrame) -> DataFrame:
         plain = F.translate(text, "\t\n\x0b\x0c\r", "     ")
         return F.lower(F.substring_index(F.rtrim(plain) if last else F.ltrim(plain), " ", -1 if last else 1))
 
-    def slot(s: Column) -> Column:
-        before = F.substring("text", F.greatest(s["start"] - 99, F.lit(1)).cast("int"), F.least(s["start"], F.lit(99)).cast("int"))
-        after = F.substring("text", (s["end"] + 1).cast("int"), F.lit(99))
-        kind = F.coalesce(
-            *[
-                F.when(F.exists(k, lambda b: (b["start"] >= s["start"]) & (b["start"] < s["end"])), F.lit(k))
-                for k in KINDS
-            ]
+    def overlaps(s: Column):
+        return lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])
+
+    def slot(start: Column, end: Column, whole: Column, kind: Column) -> Column:
+        # The rest of a word that a span begins or ends in is no word around it.
+        before = F.substring("text", F.greatest(start - 99, F.lit(1)).cast("int"), F.least(start, F.lit(99)).cast("int"))
+        after = F.substring("text", (end + 1).cast("int"), F.lit(99))
+        return F.struct(
+            start.alias("start"),
+            whole.alias("whole"),
+            word(F.regexp_replace(before, r"\S+\z", ""), True).alias("left"),
+            word(F.regexp_replace(after, r"\A\S+", ""), False).alias("right"),
+            kind.alias("kind"),
         )
-        inside = reduce(
-            lambda a, b: a | b,
-            [F.exists(k, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])) for k in KINDS],
+
+    def text_of(start: Column, end: Column) -> Column:
+        return F.substring("text", (start + 1).cast("int"), (end - start).cast("int"))
+
+    def seeds(place: int) -> Column:
+        """The spans of a kind but for those that overlap a span of a kind before it."""
+        kind = KINDS[place]
+        clear = lambda s: ~reduce(lambda a, b: a | b, [F.exists(k, overlaps(s)) for k in KINDS[:place]], F.lit(False))
+        return F.transform(F.filter(kind, clear), lambda s: slot(s["start"], s["end"], text_of(s["start"], s["end"]), F.lit(kind)))
+
+    def outside(s: Column) -> Column:
+        """What a run of words has outside of base spans, in whole words."""
+        inside = F.filter("_bases", overlaps(s))
+        first, last = F.array(s["start"]), F.array(s["end"])
+        between = F.zip_with(
+            F.concat(first, F.transform(inside, lambda b: b["end"])),
+            F.concat(F.transform(inside, lambda b: b["start"]), last),
+            lambda a, b: F.struct(a.alias("start"), b.alias("end")),
         )
-        return F.struct(
-            s["start"].alias("start"),
-            s["whole"].alias("whole"),
-            word(before, True).alias("left"),
-            word(after, False).alias("right"),
-            F.coalesce(kind, F.when(inside, F.lit("covered"))).alias("kind"),
+        between = F.filter(between, lambda p: (p["start"] < p["end"]) & ~F.exists("_bases", overlaps(p)))
+
+        def in_words(p: Column) -> Column:
+            whole = text_of(p["start"], p["end"])
+            lead = F.when(p["start"] > s["start"], F.length(F.regexp_extract(whole, r"\A\S*+\s*+", 0))).otherwise(0)
+            rest = F.substring(whole, lead + 1, F.length(whole))
+            rest = F.when(p["end"] < s["end"], F.regexp_replace(rest, r"(?:\A|\s)\S*+\z", "")).otherwise(rest)
+            return F.struct((p["start"] + lead).alias("start"), rest.alias("whole"))
+
+        return F.filter(F.transform(between, in_words), lambda p: p["whole"] != "")
+
+    def candidates(p: Column) -> Column:
+        whole, start = p["whole"], p["start"]
+        end = start + F.length(whole)
+        none = F.lit(None).cast("string")
+        first, last = F.substring_index(whole, " ", 1), F.substring_index(whole, " ", -1)
+        # A longer row of numbers is no identifier: those at its ends are next to words.
+        several = (F.length(digits(whole)) > MOST_DIGITS) & F.contains(whole, F.lit(" "))
+        ends = F.array(
+            slot(start, start + F.length(first), first, none), slot(end - F.length(last), end, last, none)
         )
+        return F.when(several, ends).otherwise(F.array(slot(start, end, whole, none)))
 
-    return found.select("doc_id", "text_hash", *KINDS, F.transform("slot_found", slot).alias("slots"))
+    span = lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))
+    found = found.withColumn("_bases", F.array_sort(F.concat(*[F.transform(k, span) for k in KINDS])))
+    found = found.withColumn("_outside", F.flatten(F.transform("slot_found", outside)))
+    slots = F.concat(*map(seeds, range(len(KINDS))), F.flatten(F.transform("_outside", candidates)))
+    return found.select("doc_id", "text_hash", *KINDS, slots.alias("slots"))
 
 
 def pattern_graph(slots: DataFrame) -> DataFrame:
@@ -168,11 +208,11 @@ def extract(docs: DataFrame) -> DataFrame:
     """
     base = stored(base_spans(docs), "base_spans")
     slots = base.select("doc_id", "text_hash", F.explode("slots").alias("s")).select("doc_id", "text_hash", "s.*")
-    lead = F.regexp_extract("whole", r"^[^A-Za-z0-9@+]*+", 0)
+    # A bracket stays where it is around the first part of a number.
+    lead = F.regexp_extract("whole", r"^(?:(?!\([0-9]++\)\x20?[0-9])[^A-Za-z0-9@+])*+", 0)
     core = F.regexp_extract(F.substring("whole", F.length(lead) + 1, F.length("whole")), r"^(?:[^A-Za-z0-9]*+[A-Za-z0-9]++)++", 0)
     slots = stored(slots.withColumn("core", core).withColumn("from", F.col("start") + F.length(lead)), "slots")
-    free = slots.where("kind IS NULL OR kind <> 'covered'")
-    scores = pattern_scores(pattern_graph(free))
+    scores = pattern_scores(pattern_graph(slots))
     sure = scores.where(
         reduce(lambda a, b: a | b, [(F.col(f"n_{k}") >= LEAST_SEEDS) & (F.col(f"score_{k}") >= LEAST_SCORE) for k in KINDS])
     )

@@ -131,6 +131,21 @@ def test_contexts_find_unseen_identifiers(spark, monkeypatch):
     assert few[3].spans == ""
 
 
+def test_contexts_find_identifiers_of_several_words(spark, monkeypatch):
+    values = [f"call Phone: +1 ({740 + i}) 555-38{i:02} today" for i in range(7)]
+    values += ["see Phone: (743) 555-3824 now", "Phone: 0171 234 5678, soon", "room 0171 234 5678 b"]
+    cards = [4716 * 10**12 + i for i in range(10_000) if luhn(str(4716 * 10**12 + i))][:6]
+    grouped = lambda n: " ".join(str(n)[i : i + 4] for i in range(0, 16, 4))
+    values += [f"é pay Card: {grouped(n)} please" for n in cards] + ["pay Card: 4716 0000 0000 9999 999 then"]
+    values += [f"Card: {grouped(cards[0])} (12345) x", "Phone: " + "1234 5678 " * 6 + "end"]
+    got = run_pii(spark, texts(spark, values), monkeypatch)
+    assert got[0].spans == "phone:12:29" and got[0].n_phone == 1
+    assert got[7].spans == "phone:11:25" and got[8].spans == "phone:7:20" and got[9].spans == ""
+    assert got[16].spans == "card:10:33" and got[16].n_card == 0
+    assert got[17].spans == "card:6:25"
+    assert got[18].spans == "phone:7:11"
+
+
 def test_pii_repeats_null_ids_and_nothing(spark, monkeypatch):
     df = texts(spark, ["a@b.c", "a@b.c", "a@b.c"], [1, 1, None])
     monkeypatch.setattr(pii, "table", lambda *a: df)
