@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from panelyard.llm import byte_bpe, exact_dedup, html_extract, mixing, pii, secret_scan, simhash_dedup, suffix_dedup, top_k, toxicity
+from panelyard.llm import (
+    byte_bpe,
+    conversation_repair,
+    exact_dedup,
+    html_extract,
+    mixing,
+    ngram_join,
+    pii,
+    prefix_trie,
+    secret_scan,
+    simhash_dedup,
+    suffix_dedup,
+    top_k,
+    toxicity,
+)
 
 QUERIES = {
     "op1_top_k": top_k.op1_top_k,
@@ -15,6 +29,9 @@ QUERIES = {
     "op8_html_extract": html_extract.op8_html_extract,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_secret_scan": secret_scan.op10_secret_scan,
+    "op11_ngram_join": ngram_join.op11_ngram_join,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 ORACLES = {
