@@ -6,11 +6,17 @@ joining incidence rows on the n-gram and counting per pair. Pairs are discarded
 from the two set sizes before anything is counted:
 
 * size: a pair can reach the threshold t only if t * max(|x|, |y|) <= min(|x|, |y|);
-* prefix: under one global order of n-grams (rarest first), two sets with J >= t share one of the
-  first |x| - ceil(t |x|) + 1 n-grams of each, so only those prefix entries are multiplied to find
+* prefix: under one global order of n-grams, two sets with J >= t share one of the first
+  |x| - ceil(t |x|) + 1 n-grams of each, so only those prefix entries are multiplied to find
   candidates; the product over all n-grams then checks each candidate;
 * overlap: J >= t holds iff (1 + t) * overlap >= t * (|x| + |y|).
 
+Any fixed order keeps the prefix bound exact; rare n-grams first keeps candidates few. The order is
+(count of the n-gram's hash bucket, hash), the counts taken over all documents in `FREQ_BUCKETS`
+buckets, so the table of counts has a size fixed by the setting. N-grams are hashed inside the
+partitions, and only prefixes leave them; the whole set of a document is rebuilt from its text only
+if it shares a prefix n-gram with another document.
+
 Documents with equal sets are one row of A (their class); its members link with each other. The
 product runs in two rounds. First each n-gram's prefix posting list is paired with its smallest
 class only (a star: as many pairs as entries). Then every pair that shares a prefix n-gram and is
@@ -23,42 +29,124 @@ two rounds give the components.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from panelyard.llm.components import components
-from panelyard.llm.store import stored, table
+from panelyard.llm.store import arrow_map, stored, table
 
 #: Words of a shingle; a link needs 100 * overlap >= THRESHOLD_PCT * union.
 SHINGLE, THRESHOLD_PCT = 4, 85
 #: Classes of one n-gram's prefix postings in one block of the blocked product.
 BLOCK = 2048
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def shingle_keys(text: Column, shingle: int = SHINGLE) -> Column:
-    """Distinct shingles of a text: A-Z lower-cased, words split at ASCII white space, `shingle`
-    words joined by one space; fewer words give the whole sequence as one; none give an empty array."""
-    words = F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    n = F.size(words)
-    # Word i joined with words i+1 .. i+shingle-1, by zipping the list with itself shifted: no
-    # element reads the whole list again, so a long text stays linear.
-    grams = words
-    for j in range(1, shingle):
-        grams = F.zip_with(grams, F.slice(words, j + 1, F.greatest(n, F.lit(1))), lambda x, y: F.concat_ws(" ", x, y))
-    windows = F.slice(grams, 1, F.greatest(n - (shingle - 1), F.lit(0)))
-    return F.array_distinct(
-        F.when(n == 0, F.array().cast("array<string>")).when(n < shingle, F.array(F.array_join(words, " "))).otherwise(windows)
-    )
+#: Hash buckets whose counts order the n-grams (a power of two).
+FREQ_BUCKETS = 1 << 20
+HASH_SEED = 85
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's shingles: A-Z lower-cased, words split at ASCII
+    white space, `shingle` words joined by one space; fewer words give the whole sequence as one;
+    none give no hashes."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(words) < shingle:
+        grams = [b" ".join(words)]
+    else:
+        grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, HASH_SEED) for g in grams), np.uint64))
+
+
+def _digests(h: np.ndarray) -> tuple[int, int]:
+    """Two order-free digests of a set of hashes."""
+    with np.errstate(over="ignore"):
+        return int(np.bitwise_xor.reduce(h).view(np.int64)) if len(h) else 0, int(np.sum(h * _MIX, dtype=np.uint64).view(np.int64)) if len(h) else 0
+
+
+def _signed(h: np.ndarray) -> pa.Array:
+    return pa.array(h.view(np.int64))
+
+
+def _bucket_counts(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Number of documents' n-grams in each hash bucket, over all documents."""
+    mask = np.uint64(FREQ_BUCKETS - 1)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc = np.zeros(FREQ_BUCKETS, np.int64)
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                h = shingle_hashes(t, shingle)
+                if len(h):
+                    acc += np.bincount((h & mask).astype(np.int64), minlength=FREQ_BUCKETS)
+        where = np.nonzero(acc)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int64)), pa.array(acc[where])], names=["bucket", "n"])
+
+    summed = arrow_map(docs.select("text"), counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    found = summed.toArrow()
+    counts = np.zeros(FREQ_BUCKETS, np.int64)
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def _signatures(docs: DataFrame, counts: np.ndarray, shingle: int, threshold_pct: int) -> DataFrame:
+    """`doc_id, n, d1, d2, prefix` for every row: set size, digests and prefix n-grams."""
+    mask = np.uint64(FREQ_BUCKETS - 1)
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, d1, d2, prefix = [], [], [], []
+            for t in batch.column("text").to_pylist():
+                h = shingle_hashes(t, shingle)
+                keep = len(h) - (threshold_pct * len(h) + 99) // 100 + 1 if len(h) else 0
+                order = np.lexsort((h.view(np.int64), counts[(h & mask).astype(np.int64)]))
+                a, b = _digests(h)
+                n.append(len(h))
+                d1.append(a)
+                d2.append(b)
+                prefix.append(h[order[:keep]].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "d1", "d2", "prefix"],
+            )
+
+    return arrow_map(docs.select("doc_id", "text"), signed, "doc_id long, n long, d1 long, d2 long, prefix array<long>")
+
+
+def _full_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """`cls, n, d1, d2, h` for every n-gram of the given texts (`cls`, `text`)."""
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cls, n, d1, d2, hs = [], [], [], [], []
+            for c, t in zip(batch.column("cls").to_pylist(), batch.column("text").to_pylist()):
+                h = shingle_hashes(t, shingle)
+                a, b = _digests(h)
+                cls += [c] * len(h)
+                n += [len(h)] * len(h)
+                d1 += [a] * len(h)
+                d2 += [b] * len(h)
+                hs.append(h.view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(np.concatenate(hs) if hs else np.zeros(0, np.int64))],
+                names=["cls", "n", "d1", "d2", "h"],
+            )
+
+    return arrow_map(texts.select("cls", "text"), exploded, "cls long, n long, d1 long, d2 long, h long")
 
 
 def _links_from_overlaps(pairs: DataFrame, incidence: DataFrame, threshold_pct: int) -> DataFrame:
     """The sparse product for candidate `pairs` (a, b, na, nb): overlap of each pair by joining the
     incidence rows of a with those of b on the n-gram; the pairs that reach the threshold."""
-    left = incidence.select(F.col("cls").alias("a"), "h1", "h2")
-    right = incidence.select(F.col("cls").alias("b"), "h1", "h2")
-    overlap = pairs.join(left, "a").join(right, ["b", "h1", "h2"]).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("ov"))
+    left = incidence.select(F.col("cls").alias("a"), "h")
+    right = incidence.select(F.col("cls").alias("b"), "h")
+    overlap = pairs.join(left, "a").join(right, ["b", "h"]).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("ov"))
     t = threshold_pct
     # overlap / (na + nb - overlap) >= t / 100  <=>  (100 + t) * overlap >= t * (na + nb)
     return overlap.where((100 + t) * F.col("ov") >= t * (F.col("na") + F.col("nb"))).select("a", "b")
@@ -76,72 +164,64 @@ def ngram_join(
     Two documents link when 100 * |x n y| >= `threshold_pct` * |x u y| of their distinct shingle
     sets; `component_id` is the smallest id reachable by links, the document's own included. A null
     or wordless text has an empty set, links with nothing and is its own component; equal non-empty
-    sets always link. Texts are read whole. Rows that share an id are one document, whose set is the
-    union of theirs, and give one row each. Rows with a null id are read as empty: `n_shingles` 0,
-    `component_id` null. Other columns of `docs` are not read, so
-    names that clash with the result do no harm. An empty table gives no rows. N-grams are keyed by
-    two 64-bit hashes of their text.
+    sets always link. Texts are read whole. Repeated rows are one document. Rows that share an id
+    but not the text are read as the one whose set has the least (size, digests); all of them get
+    its component, each its own `n_shingles`. Rows with a null id get `component_id` null. Other
+    columns of `docs` are not read, so names that clash with the result do no harm. An empty table
+    gives no rows. N-grams are keyed by a 64-bit hash of their text.
     """
-    spark = docs.sparkSession
-    base = docs.select(F.col(doc_id).alias("doc_id"), shingle_keys(F.col(text), shingle).alias("sh"))
-    incidence = stored(
-        base.where(F.col("doc_id").isNotNull())
-        .select("doc_id", F.explode("sh").alias("s"))
-        .select("doc_id", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), "s").alias("h2"))
-        .distinct(),
-        "ngram_incidence",
-    )
-    # One class per distinct set: its size and two order-free digests of its members.
-    sets = incidence.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n"), F.expr("bit_xor(h1)").alias("x1"), F.expr("bit_xor(xxhash64(h2, h1))").alias("x2")
-    )
-    classes = sets.groupBy("n", "x1", "x2").agg(F.min("doc_id").alias("cls"))
-    member = stored(sets.join(classes, ["n", "x1", "x2"]).select("doc_id", "cls", "n"), "ngram_classes")
-    rows = stored(
-        incidence.join(member.where("doc_id = cls").select("doc_id", "cls", "n"), "doc_id").select("cls", "n", "h1", "h2"),
-        "ngram_rows",
-    )
-    # Prefix of each class: its rarest n-grams under (frequency, h1, h2).
-    freq = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("f"))
-    order = Window.partitionBy("cls").orderBy("f", "h1", "h2")
-    keep = F.col("n") - F.floor((threshold_pct * F.col("n") + 99) / 100) + 1
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    counts = _bucket_counts(rows, shingle)
+    sig = stored(_signatures(rows, counts, shingle, threshold_pct), "ngram_signatures")
+    known = sig.where(F.col("doc_id").isNotNull())
+    chosen = known.where("n > 0").groupBy("doc_id").agg(F.min(F.struct("n", "d1", "d2")).alias("s")).select("doc_id", "s.*")
+    classes = chosen.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("cls"))
+    member = stored(chosen.join(classes, ["n", "d1", "d2"]).select("doc_id", "cls", "n", "d1", "d2"), "ngram_classes")
+    reps = member.where("doc_id = cls").select("cls", "n", "d1", "d2")
     prefix = stored(
-        rows.join(freq, ["h1", "h2"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= keep).select("cls", "n", "h1", "h2"),
+        known.join(reps.withColumnRenamed("cls", "doc_id"), ["doc_id", "n", "d1", "d2"])
+        .dropDuplicates(["doc_id"])
+        .select(F.col("doc_id").alias("cls"), "n", F.explode("prefix").alias("h")),
         "ngram_prefix",
     )
+    # Whole sets, only for classes that share a prefix n-gram with another class.
+    shared = prefix.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
+    paired = prefix.join(shared, "h").select("cls").distinct()
+    texts = rows.join(paired.withColumnRenamed("cls", "doc_id"), "doc_id").select(F.col("doc_id").alias("cls"), "text")
+    full = stored(
+        _full_sets(texts, shingle).join(reps, ["cls", "n", "d1", "d2"], "left_semi").select("cls", "h").distinct(),
+        "ngram_sets",
+    )
 
     # Round 1: every prefix entry against the smallest class of its n-gram.
-    pivot = prefix.groupBy("h1", "h2").agg(F.min(F.struct("cls", "n")).alias("p"))
+    pivot = prefix.groupBy("h").agg(F.min(F.struct("cls", "n")).alias("p"))
     star = (
-        prefix.join(pivot, ["h1", "h2"])
+        prefix.join(pivot, "h")
         .where((F.col("cls") != F.col("p.cls")) & _size_bound(F.col("n"), F.col("p.n"), threshold_pct))
         .select(F.col("p.cls").alias("a"), F.col("cls").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))
         .distinct()
     )
-    first = stored(_links_from_overlaps(star, rows, threshold_pct), "ngram_links")
+    first = stored(_links_from_overlaps(star, full, threshold_pct), "ngram_links")
     comp = stored(components(first, "ngram_stars"), "ngram_components")
 
     # Round 2: all pairs of a prefix posting list that are in different components, in blocks.
     posted = (
         prefix.join(comp.select(F.col("node").alias("cls"), "component"), "cls", "left")
         .withColumn("component", F.coalesce("component", "cls"))
-        .join(prefix.groupBy("h1", "h2").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("nb_blocks")), ["h1", "h2"])
+        .join(prefix.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("nb_blocks")), "h")
         .withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("nb_blocks")))
     )
     posted = stored(posted, "ngram_posted")
     lo = posted.select(
-        "h1", "h2", F.col("blk").alias("i"), F.explode(F.sequence("blk", F.col("nb_blocks") - 1)).alias("j"),
+        "h", F.col("blk").alias("i"), F.explode(F.sequence("blk", F.col("nb_blocks") - 1)).alias("j"),
         F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"),
     )
     hi = posted.select(
-        "h1", "h2", F.explode(F.sequence(F.lit(0).cast("long"), "blk")).alias("i"), F.col("blk").alias("j"),
+        "h", F.explode(F.sequence(F.lit(0).cast("long"), "blk")).alias("i"), F.col("blk").alias("j"),
         F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"),
     )
     cross = (
-        lo.join(
-            hi,
-            ["h1", "h2", "i", "j"],
-        )
+        lo.join(hi, ["h", "i", "j"])
         .where(
             ((F.col("i") != F.col("j")) | (F.col("x") < F.col("y")))
             & (F.col("cx") != F.col("cy"))
@@ -155,16 +235,18 @@ def ngram_join(
         )
         .distinct()
     )
-    second = _links_from_overlaps(cross, rows, threshold_pct)
+    second = _links_from_overlaps(cross, full, threshold_pct)
     final = components(first.unionByName(second), "ngram_final")
-    of_class = member.join(final.select(F.col("node").alias("cls"), "component"), "cls", "left").select(
-        "doc_id", "n", F.coalesce("component", "cls").alias("component_id")
+    of_id = member.join(final.select(F.col("node").alias("cls"), "component"), "cls", "left").select(
+        "doc_id", F.coalesce("component", "cls").alias("component_id")
     )
-    out = base.select("doc_id").join(of_class, "doc_id", "left")
+    out = sig.join(of_id, "doc_id", "left")
     return out.select(
         "doc_id",
-        F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"),
-        F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.col("n").cast("long").alias("n_shingles"),
+        F.when(F.col("doc_id").isNull(), F.lit(None).cast("long"))
+        .otherwise(F.coalesce("component_id", F.col("doc_id")))
+        .alias("component_id"),
     )
 
 
