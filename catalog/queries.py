@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from catalog.rounding import OFF_TIE, places
 from panelyard.contract import CATEGORIES, CONTEXT_SIGNALS, HORIZONS, KEY_COLUMNS, feature_columns
 from panelyard.models import boosting
+from panelyard.models import histogram_boost as hist
 from panelyard.models.ridge import fit_ridge
 from panelyard.operators import context_features as ctx
 from panelyard.operators import cross_section, encoding, impute, profile, sampling, scoring, splits, validate
@@ -611,6 +612,28 @@ def rescore_from_summary(spark, sf):
     return rounded(fit.predictions)
 
 
+#: The baseline learner's settings on our own histogram booster: 255 bins, 96 leaves in depth 7.
+_HIST = hist.HistParams(
+    learning_rate=boosting.BASELINE.learning_rate, max_depth=7, max_leaves=96, min_leaf_rows=boosting.BASELINE.min_leaf_rows,
+    feature_fraction=boosting.BASELINE.feature_fraction, row_fraction=boosting.BASELINE.row_fraction, max_bins=255, lambda_l2=1.0,
+)
+HIST_ROUNDS = 10
+
+
+def histogram_boost_rounds(spark, sf):
+    """Validation error of every round of the histogram booster, squared and huber objectives, on
+    the time split of the whole train table (all horizons, all feature columns; nulls stay null)."""
+    train = _train(spark, sf)
+    start = splits.time_split(train)
+    columns = feature_columns(train)
+    fit_rows, val_rows = train.where(F.col("ts_index") < start), train.where(F.col("ts_index") >= start)
+    out = []
+    for objective in ("regression", "huber"):
+        model = hist.fit(fit_rows, columns, replace(_HIST, objective=objective), HIST_ROUNDS, seed=42, val=val_rows)
+        out += [(objective, r + 1, float(e), model.best_round, len(t.leaves)) for r, (e, t) in enumerate(zip(model.val_errors, model.trees))]
+    return spark.createDataFrame(out, "objective string, round int, val_mse double, best_round int, leaves int")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -625,6 +648,6 @@ QUERIES = {
         candidate_scores, select_candidate, selected_predictions, ensemble_mean, best_rounds, choose_rounds,
         align_predictions, ridge_single, stored_fills, prediction_file, unseen_rows, test_only_rows,
         union_diagonal, global_validation, per_horizon_validation, walk_forward_cv, ablation, two_level_stack,
-        full_fit_predict, fixed_rounds_fit, rescore_from_summary,
+        full_fit_predict, fixed_rounds_fit, rescore_from_summary, histogram_boost_rounds,
     )
 }
