@@ -180,3 +180,10 @@ def test_per_horizon_models(spark, two_horizons):
     assert validation.predict_per_horizon(models, test.where("horizon = 1")).count() == test.where("horizon = 1").count()
     with pytest.raises(ValueError, match="25"):
         validation.predict_per_horizon(models, test)
+
+
+def test_partitions_of_a_training_frame_grow_with_its_rows(spark, monkeypatch):
+    frame = spark.range(100).select(F.col("id").cast("string").alias("id"))
+    assert boosting.pinned(frame, 4).rdd.getNumPartitions() == 4
+    monkeypatch.setattr(boosting, "PINNED_ROWS", 10)
+    assert boosting.pinned(frame, 4).rdd.getNumPartitions() == 10
