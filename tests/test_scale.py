@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from panelyard.contract import SERIES
-from panelyard.operators import cross_section, scoring, series
+from panelyard.operators import cross_section, encoding, scoring, series
 from panelyard.operators.group_sizes import GroupSizes
 
 
@@ -44,6 +44,29 @@ def test_selection_does_not_shuffle_on_horizon(spark, train):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
+def test_small_encodings_move_no_rows(spark, train):
+    """Whatever the stored encoding's size, the joins with few rows (horizons, categories) do not deal out the rows."""
+    fitted = encoding.fit_encoding(train)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        encoded = encoding.apply_encoding(train, fitted)
+        assert exchanges(encoded) == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_encodings_of_unseen_and_null_keys(spark):
+    rows = [(1, "K", "S1", 2.0), (1, "K", "S2", 4.0), (3, None, "S1", 8.0), (None, "K", "S1", 5.0)]
+    schema = "horizon int, sub_category string, sub_code string, y_target double"
+    df = spark.createDataFrame([*rows, (3, "Z", "S9", None)], schema)
+    got = encoding.apply_encoding(df, encoding.fit_encoding(spark.createDataFrame(rows, schema)))
+    seen = [(r["horizon"], r["sub_code"], r["sub_category_enc"], r["sub_code_enc"]) for r in got.collect()]
+    assert sorted(seen, key=str) == sorted(
+        [(1, "S1", 3.0, 2.0), (1, "S2", 3.0, 4.0), (3, "S1", 8.0, 8.0), (None, "S1", None, None), (3, "S9", 8.0, 8.0)], key=str
+    )
+
+
 def test_stored_tables_go_with_the_driver(tmp_path):
     root = Path(__file__).resolve().parents[1]
     script = (
