@@ -8,18 +8,25 @@ from the two set sizes before anything is counted:
 * size: a pair can reach the threshold t only if t * max(|x|, |y|) <= min(|x|, |y|);
 * prefix: under one global order of n-grams, two sets with J >= t share one of the first
   |x| - ceil(t |x|) + 1 n-grams of each, so only those prefix entries are multiplied to find
-  candidates; the product over all n-grams then checks each candidate;
-* overlap: J >= t holds iff (1 + t) * overlap >= t * (|x| + |y|).
+  candidates;
+* position: n-grams that both sets hold up to their last shared prefix n-gram are all in both
+  prefixes, and those up to the end of the prefix that ends first are too. So the overlap is at most
+  the shared prefix entries plus what follows these places in either set. Before they are counted,
+  they are bounded by the entries of each prefix that other classes have too. Pairs that meet in one
+  n-gram by chance fail here, before any whole set is rebuilt;
+* overlap: J >= t holds iff (1 + t) * overlap >= t * (|x| + |y|), counted on the whole sets of the
+  pairs that are left.
 
 Any fixed order keeps the prefix bound exact; rare n-grams first keeps candidates few. The order is
 (count of the n-gram's hash bucket, hash), the counts taken over all documents in `FREQ_BUCKETS`
 buckets, so the table of counts has a size fixed by the setting. N-grams are hashed inside the
-partitions, and only prefixes leave them; the whole set of a document is rebuilt from its text only
-if it shares a prefix n-gram with another document.
+partitions, and only prefixes leave them; of these, only n-grams of two classes or more are kept. The
+whole set of a document is rebuilt from its text only if it is in a pair that the bounds leave.
 
 Documents with equal sets are one row of A (their class); its members link with each other. The
 product runs in two rounds. First each n-gram's prefix posting list is paired with its smallest
-class only (a star: as many pairs as entries). Then every pair that shares a prefix n-gram and is
+class and with the one that has the fewest n-grams before it (stars: twice as many pairs as entries). A star sees only some of a pair's shared n-grams, so
+its bound may drop a pair that the second round then finds. Then every pair that shares a prefix n-gram and is
 not yet in one component is multiplied, in blocks: the posting list of an n-gram with many classes
 is cut into blocks of `BLOCK`, and each pair of blocks is its own join key, so a hot n-gram spreads
 over many tasks. Pairs inside one component change no component and are left out by the join's
@@ -29,12 +36,13 @@ two rounds give the components.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelyard.llm.components import components
@@ -46,7 +54,8 @@ SHINGLE, THRESHOLD_PCT = 4, 85
 BLOCK = 2048
 #: Hash buckets whose counts order the n-grams (a power of two).
 FREQ_BUCKETS = 1 << 20
-HASH_SEED = 85
+#: Parts in which the table of counts is added up.
+FREQ_SLOTS = 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,7 +70,8 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
         grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, HASH_SEED) for g in grams), np.uint64))
+    h = np.sort(np.frombuffer(b"".join(map(xxhash.xxh64_digest, grams)), ">u8").astype(np.uint64))
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
 def _digests(h: np.ndarray) -> tuple[int, int]:
@@ -70,29 +80,48 @@ def _digests(h: np.ndarray) -> tuple[int, int]:
         return int(np.bitwise_xor.reduce(h).view(np.int64)) if len(h) else 0, int(np.sum(h * _MIX, dtype=np.uint64).view(np.int64)) if len(h) else 0
 
 
-def _signed(h: np.ndarray) -> pa.Array:
-    return pa.array(h.view(np.int64))
+def _bucket_counts(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Number of documents' n-grams in each hash bucket, over all documents.
 
+    Every task sends its counts once, packed, in `FREQ_SLOTS` parts; each part is added up in a task.
+    """
+    buckets, slots = FREQ_BUCKETS, FREQ_SLOTS
+    mask = np.uint64(buckets - 1)
 
-def _bucket_counts(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Number of documents' n-grams in each hash bucket, over all documents."""
-    mask = np.uint64(FREQ_BUCKETS - 1)
+    def packed(acc: np.ndarray, found: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(found, pa.int32()), pa.array([zlib.compress(part.tobytes(), 1) for part in acc], pa.binary())],
+            names=["slot", "counts"],
+        )
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = np.zeros(FREQ_BUCKETS, np.int64)
+        acc = np.zeros(buckets, np.int64)
+        held, size = [], 0
         for batch in batches:
             for t in batch.column("text").to_pylist():
-                h = shingle_hashes(t, shingle)
-                if len(h):
-                    acc += np.bincount((h & mask).astype(np.int64), minlength=FREQ_BUCKETS)
-        where = np.nonzero(acc)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int64)), pa.array(acc[where])], names=["bucket", "n"])
+                held.append(shingle_hashes(t, shingle) & mask)
+                size += len(held[-1])
+                if size >= buckets:
+                    acc += np.bincount(np.concatenate(held).astype(np.int64), minlength=buckets)
+                    held, size = [], 0
+        if held:
+            acc += np.bincount(np.concatenate(held).astype(np.int64), minlength=buckets)
+        yield packed(acc.reshape(slots, -1), list(range(slots)))
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for slot, part in zip(batch.column("slot").to_pylist(), batch.column("counts").to_pylist()):
+                n = np.frombuffer(zlib.decompress(part), np.int64)
+                sums[slot] = sums[slot] + n if slot in sums else n
+        yield packed(np.array([sums[k] for k in sums]), list(sums))
 
-    summed = arrow_map(docs.select("text"), counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    found = summed.toArrow()
-    counts = np.zeros(FREQ_BUCKETS, np.int64)
-    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
-    return counts
+    schema = "slot int, counts binary"
+    parts = arrow_map(docs.select("text"), counted, schema).repartition(slots, "slot")
+    counts = np.zeros((slots, buckets // slots), np.int64)
+    for row in arrow_map(parts, added, schema).collect():
+        counts[row["slot"]] = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
+    return counts.reshape(-1)
 
 
 def _signatures(docs: DataFrame, counts: np.ndarray, shingle: int, threshold_pct: int) -> DataFrame:
@@ -120,36 +149,64 @@ def _signatures(docs: DataFrame, counts: np.ndarray, shingle: int, threshold_pct
 
 
 def _full_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """`cls, n, d1, d2, h` for every n-gram of the given texts (`cls`, `text`)."""
+    """`cls, hashes`: the whole sets of the given texts (`cls, n, d1, d2, text`). Of the rows with the
+    id `cls`, those whose set has the size and the digests of the class."""
 
-    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cls, n, d1, d2, hs = [], [], [], [], []
-            for c, t in zip(batch.column("cls").to_pylist(), batch.column("text").to_pylist()):
+            cls, hashes = [], []
+            wanted = zip(*(batch.column(c).to_pylist() for c in ("cls", "n", "d1", "d2", "text")))
+            for c, n, d1, d2, t in wanted:
                 h = shingle_hashes(t, shingle)
-                a, b = _digests(h)
-                cls += [c] * len(h)
-                n += [len(h)] * len(h)
-                d1 += [a] * len(h)
-                d2 += [b] * len(h)
-                hs.append(h.view(np.int64))
+                if (len(h), *_digests(h)) == (n, d1, d2):
+                    cls.append(c)
+                    hashes.append(h.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(np.concatenate(hs) if hs else np.zeros(0, np.int64))],
-                names=["cls", "n", "d1", "d2", "h"],
+                [pa.array(cls, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["cls", "hashes"]
             )
 
-    return arrow_map(texts.select("cls", "text"), exploded, "cls long, n long, d1 long, d2 long, h long")
+    return arrow_map(texts.select("cls", "n", "d1", "d2", "text"), rebuilt, "cls long, hashes array<long>")
 
 
-def _links_from_overlaps(pairs: DataFrame, incidence: DataFrame, threshold_pct: int) -> DataFrame:
-    """The sparse product for candidate `pairs` (a, b, na, nb): overlap of each pair by joining the
-    incidence rows of a with those of b on the n-gram; the pairs that reach the threshold."""
-    left = incidence.select(F.col("cls").alias("a"), "h")
-    right = incidence.select(F.col("cls").alias("b"), "h")
-    overlap = pairs.join(left, "a").join(right, ["b", "h"]).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("ov"))
-    t = threshold_pct
+def _reaches(overlap: Column, na: Column, nb: Column, threshold_pct: int) -> Column:
     # overlap / (na + nb - overlap) >= t / 100  <=>  (100 + t) * overlap >= t * (na + nb)
-    return overlap.where((100 + t) * F.col("ov") >= t * (F.col("na") + F.col("nb"))).select("a", "b")
+    return (100 + threshold_pct) * overlap >= threshold_pct * (na + nb)
+
+
+def _links_from_overlaps(pairs: DataFrame, sets: DataFrame, threshold_pct: int) -> DataFrame:
+    """The sparse product for candidate `pairs` (a, b, na, nb): overlap of each pair's whole sets; the
+    pairs that reach the threshold. The hashes of b move first, as one a may be in many pairs."""
+    overlap = (
+        pairs.join(sets.select(F.col("cls").alias("b"), F.col("hashes").alias("hb")), "b")
+        .join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("ha")), "a")
+        .select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).cast("long").alias("ov"))
+    )
+    return overlap.where(_reaches(F.col("ov"), F.col("na"), F.col("nb"), threshold_pct)).select("a", "b")
+
+
+def _candidates(met: DataFrame, threshold_pct: int) -> DataFrame:
+    """`a, b, na, nb` of the pairs that the size and position bounds leave, from the n-grams at which
+    they met. A row of `met` is one n-gram in two prefixes: the classes `x`, `y`, their sizes `n`, its
+    place `i` in each prefix, its place `k` among the `s` entries that more classes than one have."""
+    nx, ix, kx, sx, ny, iy, ky, sy = (F.col(c) for c in ("nx", "ix", "kx", "sx", "ny", "iy", "ky", "sy"))
+    # Behind the prefix of a set of n there are ceil(t * n) - 1 n-grams.
+    past = F.floor((threshold_pct * F.greatest(nx, ny) + 99) / 100) - 1
+    behind = F.least(nx - ix, ny - iy) - 1
+    most = F.least(kx, ky) + 1 + F.least(behind, F.least(sx - kx, sy - ky) - 1 + past)
+    pairs = (
+        met.where(_size_bound(nx, ny, threshold_pct) & _reaches(most, nx, ny, threshold_pct))
+        .groupBy(
+            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
+            F.least(nx, ny).alias("na"), F.greatest(nx, ny).alias("nb"),
+        )
+        .agg(F.count(F.lit(1)).alias("met"), F.min(F.least(behind, past)).alias("rest"))
+    )
+    return pairs.where(_reaches(F.col("met") + F.col("rest"), F.col("na"), F.col("nb"), threshold_pct)).select("a", "b", "na", "nb")
+
+
+def _entry(side: str, of: str = "") -> list[Column]:
+    """The columns of one prefix entry, named for a side of a pair."""
+    return [F.col(f"{of}{c}").alias(side if c == "cls" else f"{c}{side}") for c in ("cls", "n", "i", "k", "s")]
 
 
 def _size_bound(na: Column, nb: Column, threshold_pct: int) -> Column:
@@ -178,64 +235,72 @@ def ngram_join(
     classes = chosen.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("cls"))
     member = stored(chosen.join(classes, ["n", "d1", "d2"]).select("doc_id", "cls", "n", "d1", "d2"), "ngram_classes")
     reps = member.where("doc_id = cls").select("cls", "n", "d1", "d2")
-    prefix = stored(
+    prefix = (
         known.join(reps.withColumnRenamed("cls", "doc_id"), ["doc_id", "n", "d1", "d2"])
         .dropDuplicates(["doc_id"])
-        .select(F.col("doc_id").alias("cls"), "n", F.explode("prefix").alias("h")),
-        "ngram_prefix",
+        .select(F.col("doc_id").alias("cls"), "n", F.posexplode("prefix").alias("i", "h"))
     )
-    # Whole sets, only for classes that share a prefix n-gram with another class.
-    shared = prefix.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
-    paired = prefix.join(shared, "h").select("cls").distinct()
-    texts = rows.join(paired.withColumnRenamed("cls", "doc_id"), "doc_id").select(F.col("doc_id").alias("cls"), "text")
-    full = stored(
-        _full_sets(texts, shingle).join(reps, ["cls", "n", "d1", "d2"], "left_semi").select("cls", "h").distinct(),
-        "ngram_sets",
+    # Most n-grams are in one class only: they go before anything else is done with them.
+    shared = stored(prefix.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "ngram_shared")
+    of_class = Window.partitionBy("cls")
+    posting = stored(
+        prefix.join(shared, "h").select(
+            "h", "m", "cls", "n", "i",
+            (F.row_number().over(of_class.orderBy("i")) - 1).alias("k"),
+            F.count(F.lit(1)).over(of_class).alias("s"),
+        ),
+        "ngram_postings",
     )
 
-    # Round 1: every prefix entry against the smallest class of its n-gram.
-    pivot = prefix.groupBy("h").agg(F.min(F.struct("cls", "n")).alias("p"))
-    star = (
-        prefix.join(pivot, "h")
-        .where((F.col("cls") != F.col("p.cls")) & _size_bound(F.col("n"), F.col("p.n"), threshold_pct))
-        .select(F.col("p.cls").alias("a"), F.col("cls").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))
-        .distinct()
+    def whole_sets(classes: DataFrame, name: str) -> DataFrame:
+        wanted = stored(classes.join(reps, "cls"), f"{name}_wanted").withColumnRenamed("cls", "doc_id")
+        texts = rows.join(wanted, "doc_id").withColumnRenamed("doc_id", "cls")
+        return stored(_full_sets(texts, shingle).dropDuplicates(["cls"]), name)
+
+    def members(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+
+    # Round 1: every prefix entry against two classes of its n-gram, the smallest one and the one with
+    # the fewest n-grams before it, which in a group of near copies is the one with the fewest changes.
+    pivots = posting.groupBy("h").agg(
+        F.min(F.struct("cls", "n", "i", "k", "s")).alias("p"), F.min(F.struct("i", "cls", "n", "k", "s")).alias("q")
+    )
+    q = F.struct(*[F.col(f"q.{c}") for c in ("cls", "n", "i", "k", "s")])
+    pivots = pivots.select("h", F.explode(F.array_distinct(F.array("p", q))).alias("p"))
+    star = stored(
+        _candidates(
+            posting.join(pivots, "h").where(F.col("cls") != F.col("p.cls")).select(*_entry("x", "p."), *_entry("y")),
+            threshold_pct,
+        ),
+        "ngram_star",
     )
+    full = whole_sets(members(star), "ngram_sets")
     first = stored(_links_from_overlaps(star, full, threshold_pct), "ngram_links")
     comp = stored(components(first, "ngram_stars"), "ngram_components")
 
     # Round 2: all pairs of a prefix posting list that are in different components, in blocks.
     posted = (
-        prefix.join(comp.select(F.col("node").alias("cls"), "component"), "cls", "left")
+        posting.join(comp.select(F.col("node").alias("cls"), "component"), "cls", "left")
         .withColumn("component", F.coalesce("component", "cls"))
-        .join(prefix.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("nb_blocks")), "h")
+        .withColumn("nb_blocks", F.ceil(F.col("m") / BLOCK))
         .withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("nb_blocks")))
     )
     posted = stored(posted, "ngram_posted")
     lo = posted.select(
-        "h", F.col("blk").alias("i"), F.explode(F.sequence("blk", F.col("nb_blocks") - 1)).alias("j"),
-        F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"),
+        "h", F.col("blk").alias("bx"), F.explode(F.sequence("blk", F.col("nb_blocks") - 1)).alias("by"),
+        *_entry("x"), F.col("component").alias("cx"),
     )
     hi = posted.select(
-        "h", F.explode(F.sequence(F.lit(0).cast("long"), "blk")).alias("i"), F.col("blk").alias("j"),
-        F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"),
+        "h", F.explode(F.sequence(F.lit(0).cast("long"), "blk")).alias("bx"), F.col("blk").alias("by"),
+        *_entry("y"), F.col("component").alias("cy"),
     )
-    cross = (
-        lo.join(hi, ["h", "i", "j"])
-        .where(
-            ((F.col("i") != F.col("j")) | (F.col("x") < F.col("y")))
-            & (F.col("cx") != F.col("cy"))
-            & _size_bound(F.col("nx"), F.col("ny"), threshold_pct)
-        )
-        .select(
-            F.least("x", "y").alias("a"),
-            F.greatest("x", "y").alias("b"),
-            F.when(F.col("x") < F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("na"),
-            F.when(F.col("x") < F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("nb"),
-        )
-        .distinct()
+    met = lo.join(hi, ["h", "bx", "by"]).where(
+        ((F.col("bx") != F.col("by")) | (F.col("x") < F.col("y"))) & (F.col("cx") != F.col("cy"))
     )
-    second = _links_from_overlaps(cross, full, threshold_pct)
+    cross = stored(_candidates(met, threshold_pct), "ngram_cross")
+    rest = members(cross).join(full.select("cls"), "cls", "left_anti")
+    full = full.unionByName(whole_sets(rest, "ngram_more_sets"))
+    second = stored(_links_from_overlaps(cross, full, threshold_pct), "ngram_links")
     final = components(first.unionByName(second), "ngram_final")
     of_id = member.join(final.select(F.col("node").alias("cls"), "component"), "cls", "left").select(
         "doc_id", F.coalesce("component", "cls").alias("component_id")

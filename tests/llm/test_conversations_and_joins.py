@@ -62,6 +62,32 @@ def test_ngram_join_edges(spark, monkeypatch):
     assert ngram_join.ngram_join(docs.limit(0)).count() == 0
 
 
+def test_ngram_join_rebuilds_no_set_for_one_common_ngram(spark, monkeypatch):
+    """Texts that meet in one n-gram by chance fail the position bound; near copies pass it. All are
+    found with the least blocks, where most pairs are left to the second round."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 1)
+    rebuilt = []
+    whole = ngram_join._full_sets
+    monkeypatch.setattr(ngram_join, "_full_sets", lambda texts, shingle: rebuilt.append(texts.count()) or whole(texts, shingle))
+    odd = [(i, f"one two three four {' '.join(f'w{i}x{k}' for k in range(60))}") for i in range(30)]
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(spark.createDataFrame(odd, "doc_id long, text string")).collect()}
+    assert got == {i: i for i, _ in odd}
+    assert sum(rebuilt) == 0
+
+    words = random.Random(7)
+    near = []
+    for g in range(12):
+        base = [f"g{g}x{words.randrange(90)}" for _ in range(120)]
+        for k in range(6):
+            text = list(base)
+            for _ in range(words.randrange(7)):
+                text[words.randrange(len(text))] = f"y{words.randrange(5)}"
+            near.append((100 + 6 * g + k, " ".join(text[: 120 - 3 * k])))
+    rows = odd + near
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.jaccard_components(rows)
+
+
 # Conversation repair
 
 
