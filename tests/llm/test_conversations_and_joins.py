@@ -62,14 +62,16 @@ def test_ngram_join_edges(spark, monkeypatch):
     assert ngram_join.ngram_join(docs.limit(0)).count() == 0
 
 
-def test_ngram_join_rebuilds_no_set_for_one_common_ngram(spark, monkeypatch):
-    """Texts that meet in one n-gram by chance fail the position bound; near copies pass it. All are
+def test_ngram_join_rebuilds_no_set_for_a_common_passage(spark, monkeypatch):
+    """Texts that meet in a few n-grams fail the position bound; near copies pass it. All are
     found with the least blocks, where most pairs are left to the second round."""
     monkeypatch.setattr(ngram_join, "BLOCK", 1)
     rebuilt = []
     whole = ngram_join._full_sets
     monkeypatch.setattr(ngram_join, "_full_sets", lambda texts, shingle: rebuilt.append(texts.count()) or whole(texts, shingle))
-    odd = [(i, f"one two three four {' '.join(f'w{i}x{k}' for k in range(60))}") for i in range(30)]
+    # Every two of eight texts have one passage in common.
+    passages = [[f"{min(i, j)}x{max(i, j)}w{k}" for j in range(8) if j != i for k in range(40)] for i in range(8)]
+    odd = [(i, " ".join(p)) for i, p in enumerate(passages)]
     got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(spark.createDataFrame(odd, "doc_id long, text string")).collect()}
     assert got == {i: i for i, _ in odd}
     assert sum(rebuilt) == 0
